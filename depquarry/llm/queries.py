@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, pii, quality, simhash
+from . import chat, decontaminate, packing, pii, quality, simhash, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op4_pii": pii.op4_pii,
     "op6_simhash": simhash.op6_simhash,
     "op7_quality_rules": quality.op7_quality_rules,
+    "op8_warc": warc.op8_warc,
     "op9_packing": packing.op9_packing,
+    "op10_chat": chat.op10_chat,
 }
 
 ORACLES = {
     "op1_decontamination": decontaminate.OP1_SQL,
     "op7_quality_rules": quality.OP7_SQL,
+    "op8_warc": warc.OP8_SQL,
 }
