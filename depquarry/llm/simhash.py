@@ -170,7 +170,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     document (that of the smallest text stays); rows without one cannot be named and stay as they are."""
     groups = written(near_duplicates(docs).groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")), "groups")
     keep = groups.filter("doc_id = component_id")
-    once = docs.join(keep.filter("n = 1").select("doc_id"), "doc_id", "left_semi")
+    once = docs.join(keep.filter("n = 1").select("doc_id").hint("merge"), "doc_id", "left_semi")  # one plan at every size
     repeated = docs.join(keep.filter("n > 1").select("doc_id"), "doc_id", "left_semi")
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     one = repeated.groupBy("doc_id").agg(F.min(F.struct("text", *others)).alias("r"))
