@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ._common import bytes_of, map_batches, map_sorted_groups, struct, table, written
 from .components import connected_components
 
-SHINGLE, SEED, RADIUS, CHUNK = 3, 42, 3, 4096
+SHINGLE, SEED, RADIUS, CHUNK, HOT = 3, 42, 3, 4096, 1000
 BLOCKS = (11, 11, 11, 11, 10, 10)
 _PAIRS_AT_ONCE = 1 << 15
 
@@ -157,12 +157,19 @@ def near_links(distinct: DataFrame, chunk: int = CHUNK) -> DataFrame:
 def near_duplicates(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: one row per row of ``docs``."""
     fps = written(fingerprints(docs), "fingerprints")
-    low = written(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
+    low = written(fps.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "distinct")
     labels = connected_components(near_links(low.select("fp"), chunk))
     named = labels.withColumnRenamed("v", "fp").join(low, "fp")
     ids = named.groupBy("l").agg(F.min("low").alias("component_id"))
-    of_fp = low.join(labels.withColumnRenamed("v", "fp").join(ids, "l").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
-    return fps.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of_fp = low.join(labels.withColumnRenamed("v", "fp").join(ids, "l").select("fp", "component_id"), "fp", "left").select("fp", "n", F.coalesce("component_id", "low").alias("component_id"))
+    of_fp = written(of_fp, "named")
+    total = low.agg(F.sum("n")).first()[0] or 0
+    # fingerprints of a thousandth of the rows or more are a thousand at most: they are broadcast, the rest is shuffled
+    hot = F.col("n") * HOT >= total
+    hot_ids, cold_ids = F.broadcast(of_fp.filter(hot).drop("n")), of_fp.filter(~hot).drop("n")
+    cold = fps.join(hot_ids.select("fp"), "fp", "left_anti").join(cold_ids, "fp")
+    both = fps.join(hot_ids, "fp").unionByName(cold)
+    return both.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
