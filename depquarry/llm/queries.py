@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, packing, pii, quality, simhash, warc
+from . import chat, decontaminate, lm, packing, pii, quality, simhash, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
+    "op3_lm_scoring": lm.op3_lm_scoring,
     "op4_pii": pii.op4_pii,
     "op6_simhash": simhash.op6_simhash,
     "op7_quality_rules": quality.op7_quality_rules,
