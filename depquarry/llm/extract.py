@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+import sys
 from collections import Counter
 
 import pyarrow as pa
@@ -176,6 +177,7 @@ def _measured(root: Node) -> Node:
 def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
     """Pairs of matched leaves by simple tree matching: equal kinds match, children in order, most nodes in all."""
     known: dict[tuple[int, int], int] = {}
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))  # as deep as the pages are
 
     def table_of(x: list[Node], y: list[Node]) -> list[list[int]]:
         m = [[0] * (len(y) + 1)]

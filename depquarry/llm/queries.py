@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, lm, packing, pii, quality, simhash, warc
+from . import chat, decontaminate, extract, lm, packing, passages, pii, quality, simhash, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
+    "op2_substring_dedup": passages.op2_substring_dedup,
     "op3_lm_scoring": lm.op3_lm_scoring,
     "op4_pii": pii.op4_pii,
+    "op5_html_extraction": extract.op5_html_extraction,
     "op6_simhash": simhash.op6_simhash,
     "op7_quality_rules": quality.op7_quality_rules,
     "op8_warc": warc.op8_warc,
