@@ -29,7 +29,7 @@ def assemble_build_objects(nodes: DataFrame) -> DataFrame:
     names = lambda f: F.transform(F.array_sort(F.collect_list(F.when(F.col("field") == f, F.col("child")))), lambda x: x["name"])
     rolled = child.groupBy("tree_id", "pos").agg(*[names(f).alias(f) for f in ("source", "headers", "objects", "deps")], F.count("*").alias("n_children"))
     some = lambda f: F.when(F.size(f) > 0, F.col(f)).alias(f)
-    return nodes.join(rolled, ["tree_id", "pos"], "left").select("tree_id", "pos", "end_pos", F.col("name").alias("_id"), "type", F.col("source")[0].alias("source"), some("headers"), some("objects"), some("deps"), F.coalesce("n_children", F.lit(0).cast("long")).alias("n_children"))
+    return nodes.join(rolled, ["tree_id", "pos"], "left").select("tree_id", "pos", "end_pos", F.col("name").alias("_id"), "type", F.get("source", F.lit(0)).alias("source"), some("headers"), some("objects"), some("deps"), F.coalesce("n_children", F.lit(0).cast("long")).alias("n_children"))
 
 
 def dedupe_build_objects(records: DataFrame) -> DataFrame:
