@@ -2,38 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_OWN_DIR: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = _OWN_DIR.setdefault("dir", tempfile.mkdtemp(prefix="depquarry-"))
-    return base.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write ``df`` as Parquet into the shared folder and read it back, so that a lost executor costs
-    no recomputation of what came before."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ..storage import scratch_path, shared_dir, written
 
+__all__ = ["scratch_path", "shared_dir", "written"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -80,6 +60,29 @@ def bytes_of(batch: pa.RecordBatch, name: str = "text") -> Iterator[bytes]:
         yield x.as_py() or b""
 
 
+class _WordHashes(dict):
+    """XXH64 of words; a worker keeps those of the words it has seen last."""
+
+    KEPT, LONG = 400_000, 64
+
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) <= self.LONG:
+            if len(self) >= self.KEPT:
+                self.clear()
+            self[word] = h
+        return h
+
+
+_word_hashes = _WordHashes()
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """XXH64 of the words ``[^\\x20\\x09-\\x0D]+`` of a UTF-8 text, A-Z in lower case."""
+    words = raw.lower().split()
+    return np.fromiter(map(_word_hashes.__getitem__, words), np.uint64, len(words))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers (xor-shift and multiply)."""
     x = x.astype(np.uint64, copy=True)

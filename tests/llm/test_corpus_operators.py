@@ -71,9 +71,9 @@ def test_probabilities_sum_to_one():
     stats[q], stats[lm.QUANTA + q], stats[-2:] = 3, 8, (2, 1)  # a context seen 8 times with 3 followers
     rates = lm.Rates(10, 1000, stats)
     rates.mean = np.arange(lm.QUANTA, dtype=float)  # read counts as they are
-    rates.rest[8] = rates.rest[q]
-    seen = 10 ** rates.log_probabilities(np.full(3, 8), np.zeros(3, int), np.array([4, 3, 1]))
-    floor = 10 ** rates.log_probabilities(np.array([8]), np.array([0]), np.array([0]))[0]
+    kind = np.full(3, q)
+    seen = 10 ** rates.log_probabilities(kind, np.full(3, 8), np.zeros(3, int), np.array([4, 3, 1]))
+    floor = 10 ** rates.log_probabilities(kind[:1], np.array([8]), np.array([0]), np.array([0]))[0]
     assert abs((seen - floor).sum() + rates.rest[q] - 1) < 1e-9
 
 
@@ -81,8 +81,13 @@ def test_lm_edges(spark):
     assert lm.score(empty(spark)).count() == 0
     one = lm.score(spark.createDataFrame([(None, "a b")], "doc_id long, text string")).first()
     assert one.held_out and one.train_tokens == 0 and one.n_known == 0 and one.score == pytest.approx(3 * math.log10(0.1 / 0.1))
-    with pytest.raises(ValueError, match="max_filter_bytes"):
-        lm.score(awkward(spark), max_filter_bytes=1)
+
+
+def test_shards_answer_like_the_broadcast_filter(spark):
+    rng = random.Random(10)
+    docs = awkward(spark, [(100 + i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(60)))) for i in range(50)])
+    key = lambda df: sorted((str(r.doc_id), r.n_tokens, round(r.score, 6)) for r in df.collect())
+    assert key(lm.score(docs, max_filter_bytes=0)) == key(lm.score(docs))
 
 
 # extraction
