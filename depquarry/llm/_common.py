@@ -11,9 +11,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..storage import scratch_path, shared_dir, written
+from .. import storage
+from ..storage import scratch_path, shared_dir
 
-__all__ = ["scratch_path", "shared_dir", "written"]
+__all__ = ["scratch_path", "shared_dir"]
+
+#: Rows and bytes of the Arrow batches of what is written on the way, so that a task's Python side stays small.
+BATCH_ROWS, BATCH_BYTES = 2000, "16m"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``storage.written`` with small Arrow batches; the session's own settings come back afterwards."""
+    conf = df.sparkSession.conf
+    keys = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    before = {k: conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            conf.set(k, v)
+        return storage.written(df, name)
+    finally:
+        for k, v in before.items():
+            conf.set(k, v)
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -55,32 +73,60 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> Iterator[str]:
 def bytes_of(batch: pa.RecordBatch, name: str = "text") -> Iterator[bytes]:
     """As ``texts_of``, as UTF-8 bytes."""
     col = batch.column(name)
-    col = col.cast(pa.large_binary()) if not pa.types.is_large_binary(col.type) else col
+    col = col.cast(pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary())  # no copy of the data
     for x in col:
         yield x.as_py() or b""
 
 
-class _WordHashes(dict):
-    """XXH64 of words; a worker keeps those of the words it has seen last."""
-
-    KEPT, LONG = 400_000, 64
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        if len(word) <= self.LONG:
-            if len(self) >= self.KEPT:
-                self.clear()
-            self[word] = h
-        return h
-
-
-_word_hashes = _WordHashes()
+#: A word's hash is a polynomial in its bytes modulo 2^64, so all words of a block come out of one running sum;
+#: longer words are hashed by themselves.
+_BLOCK, _LONG = 1 << 20, 256
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BASE = 0x9E3779B97F4A7C15
+_POWERS: list[np.ndarray] = []
+
+
+def _powers() -> list[np.ndarray]:
+    if not _POWERS:
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            x = np.full(_BLOCK + 1, base, np.uint64)
+            x[0] = 1
+            _POWERS.append(np.cumprod(x))
+        _POWERS.append(mix64(np.arange(1, 257, dtype=np.uint64)))
+    return _POWERS
+
+
+def _hash_block(raw: bytes) -> np.ndarray:
+    b = np.frombuffer(raw, np.uint8)
+    edge = np.flatnonzero(np.diff((~_SPACE[b]).view(np.int8), prepend=0, append=0))
+    start, end = edge[::2], edge[1::2]
+    size = end - start
+    if len(raw) > _BLOCK:
+        out = np.zeros(len(size), np.uint64)
+    else:
+        power, inverse, of_byte = _powers()
+        total = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(of_byte[b] * power[: len(raw)], out=total[1:])
+        out = mix64((total[end] - total[start]) * inverse[start] + size.astype(np.uint64))
+    for i in np.flatnonzero((size > _LONG) | (len(raw) > _BLOCK)).tolist():
+        out[i] = xxhash.xxh64_intdigest(raw[start[i] : end[i]]) if size[i] > _LONG else _hash_block(raw[start[i] : end[i]])[0]
+    return out
 
 
 def word_hashes(raw: bytes) -> np.ndarray:
-    """XXH64 of the words ``[^\\x20\\x09-\\x0D]+`` of a UTF-8 text, A-Z in lower case."""
-    words = raw.lower().split()
-    return np.fromiter(map(_word_hashes.__getitem__, words), np.uint64, len(words))
+    """64-bit hashes of the words ``[^\x20\x09-\x0D]+`` of a UTF-8 text, A-Z in lower case."""
+    raw = raw.lower()
+    if len(raw) <= _BLOCK:
+        return _hash_block(raw)
+    out, at = [], 0
+    while at < len(raw):
+        cut = len(raw) if len(raw) - at <= _BLOCK else max(raw.rfind(c, at, at + _BLOCK) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
+        if cut < at:  # a word longer than a block
+            ends = [x for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c") if (x := raw.find(c, at)) >= 0]
+            cut = min(ends, default=len(raw))
+        out.append(_hash_block(raw[at:cut]))
+        at = cut + 1
+    return np.concatenate(out)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

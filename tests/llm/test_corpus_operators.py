@@ -10,6 +10,22 @@ from helpers import PROSE, awkward, empty
 import corpus_pipeline
 from depquarry.llm import decontaminate, extract, lm, packing, passages, pii, quality, simhash
 
+# words
+
+
+def test_word_hashes():
+    from depquarry.llm._common import _BLOCK, word_hashes
+
+    rng = random.Random(11)
+    text = " ".join(rng.choice(["a", "B", "ab", "ba", "x" * 300, "é" * 3, "\n", "y" * 200]) for _ in range(40_000)) + " " + "z" * (_BLOCK + 5) + "\ta b"
+    words = text.encode().lower().split()
+    hashes = word_hashes(text.encode()).tolist()
+    assert len(hashes) == len(words) and len(set(zip(hashes, words))) == len(set(words)) == len(set(hashes))
+    assert len(word_hashes(b"")) == len(word_hashes(b" \n")) == 0 and word_hashes(b"A").tolist() == word_hashes(b" a ").tolist()
+    some = [f"{a}{b}" for a in range(300) for b in range(300)]
+    assert len(set(word_hashes(" ".join(some).encode()).tolist())) == len(set(some))
+
+
 # language model
 
 
