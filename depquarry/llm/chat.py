@@ -5,7 +5,7 @@ input turn dynamic programming over the automaton's states (start, system, user,
 keep its role, relabel it, merge it into the turn before, or insert empty turns before it; at the end what is missing is
 appended. Ties go to the first of keep or relabel, then merge, and to the earlier state in the order above.
 
-Turns are ordered by (turn, role, text). A conversation is cut into chunks of ``CHUNK_TURNS`` turns by a range
+Turns are ordered by turn, then role, then a hash of the text. A conversation is cut into chunks of ``CHUNK_TURNS`` turns by a range
 partitioning over (conversation, turn), so one of any length is spread over tasks. A chunk is one min-plus matrix of
 costs from entry to exit state; only the matrices of conversations with several chunks meet in one place, which gives
 every chunk its entry and exit state; then each chunk is solved and rendered for itself.
