@@ -60,7 +60,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: T.S
 
 def struct(**fields: str) -> T.StructType:
     """``struct(doc_id='long', text='string')``."""
-    kinds = {"long": T.LongType(), "string": T.StringType(), "boolean": T.BooleanType(), "double": T.DoubleType(), "binary": T.BinaryType(), "int": T.IntegerType(), "array<string>": T.ArrayType(T.StringType()), "array<long>": T.ArrayType(T.LongType()), "array<double>": T.ArrayType(T.DoubleType())}
+    kinds = {"long": T.LongType(), "string": T.StringType(), "boolean": T.BooleanType(), "double": T.DoubleType(), "binary": T.BinaryType(), "int": T.IntegerType(), "array<string>": T.ArrayType(T.StringType()), "array<long>": T.ArrayType(T.LongType()), "array<int>": T.ArrayType(T.IntegerType()), "array<double>": T.ArrayType(T.DoubleType())}
     return T.StructType([T.StructField(k, kinds[v]) for k, v in fields.items()])
 
 
