@@ -240,6 +240,39 @@ def test_passages(spark):
     assert passages.repeated_passages(empty(spark)).count() == 0
 
 
+def test_passages_far_apart_in_one_pair(spark):
+    rng = random.Random(8)
+    head, foot = words(rng, 100), words(rng, 60)
+    docs = [(i, " ".join(words(rng, 20) + head + words(rng, 300) + foot + words(rng, 20))) for i in range(2)]
+    docs += [(10 + i, " ".join(words(rng, 20) + head[:60] + words(rng, 300) + foot + words(rng, 150) + head[60:])) for i in range(2)]
+    got = {r.doc_id: r for r in passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i in range(2):
+        found = [tuple(map(int, s.split(":"))) for s in got[i].spans.split(",")]
+        assert got[i].n_links >= 1 and [any(a <= s and e <= b for a, b in found) for s, e in ((20, 120), (420, 480))] == [True, True]
+        assert got[i].dup_words <= 170
+        found = [tuple(map(int, s.split(":"))) for s in got[10 + i].spans.split(",")]
+        assert [any(a <= s and e <= b for a, b in found) for s, e in ((20, 80), (380, 440))] == [True, True]
+
+
+def test_similar_runs_against_brute_force():
+    rng = random.Random(10)
+    for _ in range(100):
+        a, b = ([rng.randrange(6) for _ in range(60)] for _ in range(2))
+        seeds = sorted({(i, j) for i in range(58) for j in range(58) if a[i : i + 3] == b[j : j + 3]})
+        if not seeds:
+            continue
+        chain = passages.chains([s[0] for s in seeds], [s[1] for s in seeds], 3, 0.01)[0]
+        pos, apos = [seeds[x][0] for x in chain], [seeds[x][1] for x in chain]
+        x, y = np.array(a, np.uint32), np.array(b, np.uint32)
+        gains = [passages.common_words(x[s + 3 : e + 3], y[t + 3 : f + 3]) - 0.8 * max(e - s, f - t) for s, e, t, f in zip(pos, pos[1:], apos, apos[1:])]
+        longest = max(pos[j] - pos[i] for i in range(len(pos)) for j in range(i, len(pos)) if sum(gains[i:j]) + 0.6 > -1e-9)
+        runs = list(passages.similar_runs(x, y, pos, apos, 3, 0.8))
+        assert runs[0][1] - runs[0][0] == longest + 3
+        for s, e, t, f in runs:
+            assert passages.common_words(x[s:e], y[t:f]) >= 0.8 * max(e - s, f - t) - 1e-6
+        assert all(p <= s for p, _ in seeds[:1] for s, *_ in runs) and {p for p in pos} <= {p for s, e, *_ in runs for p in range(s, e)}
+
+
 # the pipeline
 
 
