@@ -272,6 +272,21 @@ def lib_cycles_all(spark, sf_dir, g):
     return traversals.lib_cycles_all(_small_edges(g))
 
 
+#: As ``_CYCLE`` over all archives and any number of hops: each pair is kept once, at its first level.
+_WHOLE_CYCLE = """, met(q, node, hops) USING KEY (q, node) AS (SELECT src, dst, 1::BIGINT FROM ledges
+UNION SELECT m.q, e.dst, min(m.hops) + 1 FROM met m JOIN ledges e ON m.node = e.src LEFT JOIN recurring.met r ON r.q = m.q AND r.node = e.dst WHERE r.q IS NULL GROUP BY m.q, e.dst) """
+
+
+@_query(_WHOLE_CYCLE + "SELECT q AS archive, hops FROM met WHERE q = node")
+def libs_cycle_whole(spark, sf_dir, g):
+    return traversals.shortest_cycles(libs.lib_edges(g))
+
+
+@_query(_WHOLE_CYCLE + "SELECT a.q AS archive, min(b.q) AS cycle FROM met a JOIN met b ON a.q = b.node AND a.node = b.q GROUP BY a.q")
+def lib_cycles_whole(spark, sf_dir, g):
+    return traversals.lib_cycles_all(libs.lib_edges(g))
+
+
 _EXTRA = "SELECT a AS archive, deps.dep AS extra FROM arch JOIN deps ON a = deps.item WHERE EXISTS (SELECT 1 FROM own o WHERE o.archive = a AND NOT EXISTS (SELECT 1 FROM need n WHERE n.archive = a AND n.symbol = o.symbol))"
 
 

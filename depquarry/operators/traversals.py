@@ -196,6 +196,15 @@ def lib_cycles_all(lib_edges: DataFrame) -> DataFrame:
     return found.groupBy("archive").agg(F.min("cycle").alias("cycle"))
 
 
+def shortest_cycles(lib_edges: DataFrame) -> DataFrame:
+    """(archive, hops): the shortest way of every archive on a cycle back to itself, walked inside its component only."""
+    edges = written(lib_edges.select("src", "dst").distinct(), "cycle-edges")
+    on = written(lib_cycles_all(edges), "cycles")
+    inside = edges.join(on.select(F.col("archive").alias("src"), F.col("cycle").alias("c1")), "src").join(on.select(F.col("archive").alias("dst"), F.col("cycle").alias("c2")), "dst").filter("c1 = c2").select("src", "dst")
+    roots = on.select(F.col("archive").alias("query_id"), "archive")
+    return libs_cycle(written(inside, "cycle-edges"), roots).select(F.col("target").alias("archive"), "hops")
+
+
 def _least_reaching(edges: DataFrame) -> DataFrame:
     """(node, color): the smallest node that reaches each node, itself included."""
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()

@@ -31,6 +31,20 @@ def test_query(spark, con, name):
     assert got[1] == want[1] and sorted(map(str, got[0])) == sorted(map(str, want[0]))
 
 
+LARGER = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(LARGER), reason="no tables here")
+@pytest.mark.parametrize("name", ["libs_cycle_whole", "lib_cycles_whole"])
+def test_cycles_of_all_archives(spark, name):
+    con = duckdb.connect()
+    for f in os.listdir(LARGER):
+        con.execute(f"create view {f.removesuffix('.parquet')} as select * from '{LARGER}/{f}'")
+    got, want = table(entry.queries()[name](spark, LARGER).toPandas()), table(con.sql(entry.oracle_sql()[name]).df())
+    assert got[1] == want[1] and sorted(map(str, got[0])) == sorted(map(str, want[0]))
+    assert sum(int(r[0].removeprefix("lib").removesuffix(".a")) >= 150 for r in got[0]) > 100
+
+
 def test_every_query_of_the_graph_has_sql():
     names = {k for k in entry.queries() if not k.startswith("op") and k != "pipeline"}
     assert names <= set(entry.oracle_sql())

@@ -16,6 +16,14 @@ def test_cycles(spark):
     assert got == [("a", 3, ("b", "c", "a")), ("b", 3, ("c", "a", "b")), ("c", 3, ("a", "b", "c")), ("d", 2, ("e", "d")), ("e", 2, ("d", "e")), ("f", 1, ("f",))]
 
 
+def test_shortest_cycles(spark):
+    ring = [(f"lib{i}.a", f"lib{200 + (i - 199) % 40}.a") for i in range(200, 240)]  # 40 hops around, by numbers beyond 150
+    edges = pairs(spark, *ring, ("lib1.a", "lib200.a"), ("lib210.a", "lib300.a"), ("lib300.a", "lib209.a"), ("lib301.a", "lib301.a"))
+    got = dict(rows(traversals.shortest_cycles(edges), "archive", "hops"))
+    short = {"lib209.a": 3, "lib210.a": 3, "lib300.a": 3, "lib301.a": 1}
+    assert got == {**{f"lib{i}.a": 40 for i in range(200, 240)}, **short}
+
+
 def test_closure_of_diamond_and_cycle(spark):
     g = graph(spark, {}, {}, {}, {"a": ["b", "c"], "b": ["d"], "c": ["d"], "d": ["a"]})
     got = rows(traversals.closure(g, roots(spark, "a")), "node", "level")
