@@ -106,6 +106,16 @@ def test_shards_answer_like_the_broadcast_filter(spark):
     assert key(lm.score(docs, max_filter_bytes=0)) == key(lm.score(docs))
 
 
+def test_scores_do_not_depend_on_what_is_frequent(spark, monkeypatch):
+    rng = random.Random(12)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(["a", "b", "c", f"w{rng.randrange(30)}", f"x{rng.randrange(400)}"]) for _ in range(rng.randrange(60)))) for i in range(120)], "doc_id long, text string")
+    got = []
+    for head, most in ((5, 1 << 28), (1 << 22, 1 << 28), (5, 0)):
+        monkeypatch.setattr(lm, "HEAD", head)
+        got.append({r.doc_id: r.score for r in lm.score(docs, max_filter_bytes=most).collect()})
+    assert got[0] == pytest.approx(got[1], abs=1e-9) and got[0] == pytest.approx(got[2], abs=1e-9)
+
+
 # extraction
 
 ARTICLE = "<article><h1>A &amp; B</h1><p>One <b>two</b>\n three<br>four<p>five&nbsp;six &#x41;</p><ul><li>x<li>y</ul></article>"
