@@ -264,6 +264,17 @@ def test_passages_far_apart_in_one_pair(spark):
         assert [any(a <= s and e <= b for a, b in found) for s, e in ((20, 80), (380, 440))] == [True, True]
 
 
+def test_passages_with_every_seventh_word_changed(spark):
+    rng = random.Random(13)
+    docs = []
+    for i in range(20):
+        shared = words(rng, 63)
+        other = [f"new{rng.randrange(2000)}" if j % 7 == 6 else w for j, w in enumerate(shared)]
+        docs += [(2 * i, " ".join(words(rng, 30) + shared + words(rng, 30))), (2 * i + 1, " ".join(words(rng, 30) + other + words(rng, 30)))]
+    got = {r.doc_id: r for r in passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert sum(got[2 * i].n_links == got[2 * i + 1].n_links == 1 for i in range(20)) >= 17
+
+
 def test_similar_runs_against_brute_force():
     rng = random.Random(10)
     for _ in range(100):
