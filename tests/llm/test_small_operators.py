@@ -135,6 +135,32 @@ def test_model_adds_spans(spark):
     assert pii.find_pii(empty(spark)).count() == 0
 
 
+def test_model_takes_the_wider_forms(spark):
+    rng = random.Random(14)
+
+    def number(n):
+        return "".join(str(rng.randrange(1, 10)) for _ in range(n))
+
+    def card(n):
+        d = number(n - 1)
+        return next(d + c for c in "0123456789" if pii.luhn(d + c))
+
+    def phone():
+        d = number(10)
+        return f"+1 ({d[:3]}) {d[3:6]}-{d[6:]}"
+
+    rows = [(i, f"{PROSE} Call {phone()} or mail a{i}.b@host{i}.example.com today, card {card(16)}, server 10.{i % 200}.3.{i % 90}. {PROSE} Order {number(9)} of {number(16)} {PROSE}") for i in range(100, 700)]
+    model = pii.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    c = card(15)
+    for kind, s in (("phone", "(509) 555-6973"), ("phone", "509-555-6973"), ("email", "jane.doe [at] mail [dot] com"), ("card", c), ("card", f"{c[:4]} {c[4:10]} {c[10:]}"), ("ip", "10[.]20[.]30[.]40")):
+        text = f"{PROSE} Here it is: {s} and more. {PROSE}"
+        base, every = model.spans(text)
+        assert not any(base.values()) and [text[a:b] for a, b in every[kind]] == [s]
+    for s in ("2024-03-15", "15.03.2024", "455099781", "1234567890123456", "10[.]20[.]999[.]40"):
+        base, every = model.spans(f"{PROSE} Here it is: {s} and more. {PROSE}")
+        assert base == every
+
+
 def test_redaction_of_overlaps():
     assert pii.redacted("ab 1234 cd", {"email": [(3, 5)], "ip": [(4, 7)], "card": [], "phone": []}) == "ab [EMAIL] cd"
 
