@@ -264,6 +264,47 @@ def test_passages_far_apart_in_one_pair(spark):
         assert [any(a <= s and e <= b for a, b in found) for s, e in ((20, 80), (380, 440))] == [True, True]
 
 
+def test_passages_whose_seeds_go_to_holders_of_parts(spark):
+    from depquarry.llm._common import word_hashes
+
+    rng = random.Random(14)
+    shared = words(rng, 90)
+
+    def text(part, before):
+        while True:
+            t = " ".join(words(rng, 30) + part + words(rng, 30))
+            if (passages.class_of(word_hashes(t.encode())) < 0) == before:
+                return t
+
+    docs = [(0, text(shared[:49], True)), (1, text(shared[41:], True)), (2, text(shared, False)), (3, text(shared, False))]
+    got = {r.doc_id: r for r in passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [got[i].n_links for i in range(4)] == [0, 0, 1, 1] and [got[i].group_id for i in (2, 3)] == [2, 2]
+    for i in (2, 3):
+        a, b = map(int, got[i].spans.split(":"))
+        assert a <= 30 and b >= 120
+
+
+def test_exact_passages_against_brute_force(spark):
+    rng = random.Random(15)
+    base = words(rng, 400)
+    docs = []
+    for i in range(40):
+        n, at = rng.choice((30, 45, 49, 50, 60, 90)), rng.randrange(300)
+        docs.append((i, " ".join(words(rng, 20) + base[at : at + n] + words(rng, 20))))
+    got = {r.doc_id: r for r in passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    holders: dict[tuple, list] = {}
+    for i, t in docs:
+        t = t.split()
+        for j in range(len(t) - 49):
+            holders.setdefault(tuple(t[j : j + 50]), []).append((i, j))
+    met = [h for h in holders.values() if len(h) > 1]
+    assert len(met) > 50
+    for h in met:
+        assert len({got[i].group_id for i, _ in h}) == 1
+        for i, j in h:
+            assert any(a <= j and j + 50 <= b for a, b in (map(int, s.split(":")) for s in got[i].spans.split(",")))
+
+
 def test_passages_with_every_seventh_word_changed(spark):
     rng = random.Random(13)
     docs = []
