@@ -203,16 +203,25 @@ def words(rng, n):
 def test_chains_against_brute_force():
     rng = random.Random(5)
     for _ in range(200):
-        seeds = sorted({(rng.randrange(60), rng.randrange(60)) for _ in range(rng.randrange(1, 12))})
-        pos, apos = [s[0] for s in seeds], [s[1] for s in seeds]
+        found = sorted({(rng.randrange(60), rng.randrange(60)) for _ in range(rng.randrange(1, 12))})
+        pos, apos, size = [x[0] for x in found], [x[1] for x in found], [rng.randrange(1, 9) for _ in found]
+        follows = lambda i, j: pos[i] + size[i] <= pos[j] and apos[i] + size[i] <= apos[j]
+        between = lambda i, j: pos[j] - pos[i] + apos[j] - apos[i] - 2 * size[i]
         score = []
-        for j in range(len(seeds)):
-            best = max((score[i] - passages.GAP_COST * (pos[j] - pos[i] + apos[j] - apos[i]) for i in range(j) if pos[i] < pos[j] and apos[i] < apos[j]), default=0)
-            score.append(passages.K + max(0, best))
-        chain = passages.chains(pos, apos)[0]
-        total = sum(passages.K for _ in chain) - sum(passages.GAP_COST * (pos[b] - pos[a] + apos[b] - apos[a]) for a, b in zip(chain, chain[1:]))
-        assert total == pytest.approx(max(score)) and all(pos[a] < pos[b] and apos[a] < apos[b] for a, b in zip(chain, chain[1:]))
-        assert sorted(x for c in passages.chains(pos, apos) for x in c) == list(range(len(seeds)))
+        for j in range(len(found)):
+            best = max((score[i] - passages.GAP_COST * between(i, j) for i in range(j) if follows(i, j)), default=0)
+            score.append(size[j] + max(0, best))
+        chain = passages.chains(pos, apos, size)[0]
+        total = sum(size[x] for x in chain) - sum(passages.GAP_COST * between(i, j) for i, j in zip(chain, chain[1:]))
+        assert total == pytest.approx(max(score)) and all(follows(i, j) for i, j in zip(chain, chain[1:]))
+        assert sorted(x for c in passages.chains(pos, apos, size) for x in c) == list(range(len(found)))
+
+
+def test_stretches_put_touching_seeds_together():
+    pair = np.array([0, 0, 0, 0, 1, 1])
+    pos, apos, size = np.array([3, 8, 30, 5, 3, 3]), np.array([13, 18, 40, 90, 13, 14]), np.array([5, 5, 5, 5, 50, 5])
+    got = [x.tolist() for x in passages.stretches(pair, pos, apos, size)]
+    assert list(zip(*got)) == [(0, 3, 13, 10), (0, 5, 90, 5), (0, 30, 40, 5), (1, 3, 13, 50), (1, 3, 14, 5)]
 
 
 def test_common_words():
@@ -323,16 +332,80 @@ def test_similar_runs_against_brute_force():
         seeds = sorted({(i, j) for i in range(58) for j in range(58) if a[i : i + 3] == b[j : j + 3]})
         if not seeds:
             continue
-        chain = passages.chains([s[0] for s in seeds], [s[1] for s in seeds], 3, 0.01)[0]
-        pos, apos = [seeds[x][0] for x in chain], [seeds[x][1] for x in chain]
+        chain = passages.chains([s[0] for s in seeds], [s[1] for s in seeds], [3] * len(seeds), 0.01)[0]
+        pos, apos, size = [seeds[x][0] for x in chain], [seeds[x][1] for x in chain], [3] * len(chain)
         x, y = np.array(a, np.uint32), np.array(b, np.uint32)
-        gains = [passages.common_words(x[s + 3 : e + 3], y[t + 3 : f + 3]) - 0.8 * max(e - s, f - t) for s, e, t, f in zip(pos, pos[1:], apos, apos[1:])]
+        gains = [3 + passages.common_words(x[s + 3 : e], y[t + 3 : f]) - 0.8 * max(e - s, f - t) for s, e, t, f in zip(pos, pos[1:], apos, apos[1:])]
         longest = max(pos[j] - pos[i] for i in range(len(pos)) for j in range(i, len(pos)) if sum(gains[i:j]) + 0.6 > -1e-9)
-        runs = list(passages.similar_runs(x, y, pos, apos, 3, 0.8))
+        runs = list(passages.similar_runs(x, y, pos, apos, size, 0.8))
         assert runs[0][1] - runs[0][0] == longest + 3
-        for s, e, t, f in runs:
-            assert passages.common_words(x[s:e], y[t:f]) >= 0.8 * max(e - s, f - t) - 1e-6
-        assert all(p <= s for p, _ in seeds[:1] for s, *_ in runs) and {p for p in pos} <= {p for s, e, *_ in runs for p in range(s, e)}
+        for s, e, t, f, same in runs:
+            assert passages.common_words(x[s:e], y[t:f]) >= same >= 0.8 * max(e - s, f - t) - 1e-6
+        assert {p for p in pos} <= {p for s, e, *_ in runs for p in range(s, e)}
+
+
+def found_in(spark, docs, **how):
+    rows = passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string"), **how).collect()
+    return {r.doc_id: (r, [tuple(map(int, x.split(":"))) for x in r.spans.split(",") if x]) for r in rows}
+
+
+def test_many_short_quotes_do_not_part_long_holders(spark):
+    rng = random.Random(21)
+    shared = words(rng, 200)
+    docs = [(i, " ".join(words(rng, 30) + shared + words(rng, 30))) for i in range(2)]
+    docs += [(10 + i, " ".join(words(rng, 30) + shared[85:115] + words(rng, 30))) for i in range(400)]
+    got = found_in(spark, docs)
+    for i in range(2):
+        r, spans = got[i]
+        assert (r.n_links, r.group_id) == (1, 0) and any(a <= 30 and 230 <= b for a, b in spans) and r.dup_words <= 206
+    assert all(got[10 + i][0].n_links == 0 for i in range(400))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_passage_twice_in_one_text(spark, seed):
+    rng = random.Random(40 + seed)  # either text may be the anchor
+    shared = words(rng, 120)
+    docs = [(1, " ".join(words(rng, 50) + shared + words(rng, 50) + shared + words(rng, 50))), (2, " ".join(words(rng, 50) + shared + words(rng, 50)))]
+    got = found_in(spark, docs)
+    assert 240 <= got[1][0].dup_words <= 252 and 120 <= got[2][0].dup_words <= 126 and got[1][0].n_links == got[2][0].n_links == 1
+    assert found_in(spark, docs[:1])[1][0].dup_words == 0  # what only one text holds links nothing
+
+
+def test_fuzzy_passages_against_brute_force(spark):
+    """All pairs of holders of passages with words changed by chance: from the first to the last word that agrees there
+    are 50 words or more, 0.8 of them equal or more."""
+
+    def similar(p, q):
+        same = [x for x, (a, b) in enumerate(zip(p, q)) if a == b]
+        return len(same) >= 0.8 * (same[-1] + 1 - same[0]) and same[-1] + 1 - same[0] >= passages.MIN_WORDS if same else False
+
+    rng = random.Random(31)
+    docs, members = [], {}
+    for g in range(60):
+        shared = words(rng, rng.choice((52, 60, 100)))
+        for _ in range(rng.choice((2, 3, 6, 14))):
+            part = [w if rng.random() > 0.05 else f"new{rng.randrange(2000)}" for w in shared]
+            members.setdefault(g, []).append((len(docs), part))
+            docs.append((len(docs), " ".join(words(rng, 30) + part + words(rng, 30))))
+    got = found_in(spark, docs)
+    truth = found = covered = holders = 0
+    for group in members.values():
+        like = {(i, j) for i, p in group for j, q in group if i < j and similar(p, q)}
+        truth += len(like)
+        found += sum(got[i][0].group_id == got[j][0].group_id and got[i][0].n_links > 0 for i, j in like)
+        for i, p in group:
+            if any(i in pair for pair in like):
+                holders += 1
+                covered += sum(max(0, min(b, 30 + len(p)) - max(a, 30)) for a, b in got[i][1]) >= 0.8 * len(p)
+        assert {got[i][0].group_id for i, _ in group} <= {i for i, _ in group}  # no group reaches into another
+    print(truth, found, holders, covered)
+    assert truth > 500 and found >= 0.97 * truth and covered >= 0.97 * holders
+
+
+def test_a_full_sieve_changes_nothing(spark):
+    rng = random.Random(17)
+    docs = [(i, " ".join(words(rng, 40) + (words(random.Random(i % 5), 60) if i % 3 else []) + words(rng, 40))) for i in range(30)]
+    assert found_in(spark, docs) == found_in(spark, docs, sieve_bits=1)
 
 
 # the pipeline
