@@ -5,10 +5,12 @@ are gone). The page with a host's smallest page_id (then smallest html) is its r
 aligned with it by simple tree matching. A reference leaf whose aligned text is the same on ``SAME`` of the host's pages or more,
 with ``LEAST_PAGES`` pages at least, is template; what varies is a slot. Counts cover all pages of all hosts.
 
-A page's text is the leaves of its article (the largest ``article`` element, else ``main``, else the body) that are
-neither template nor in a region that says it is a menu, header, footer, sidebar, notice, advert, form or comment
-section, by element, role, class or id; outside an article, lists of mere links count as menus too. Where everything
-would be template (a host of copies), the template is ignored. Leaves are joined in page order by ``\\n``.
+A page's text is the leaves of its articles (the outermost ``article`` elements, else ``main``, else the body) that are
+neither template nor in a region that is a menu, header, footer, sidebar, notice, advert, form or comment section by
+element or role, or by class or id. A class or id alone decides nothing: such a region goes only if it holds no title
+and half of the text around it at most, and never where it holds all articles; words of state (``has-sidebar``,
+``no-comments``) name no region. Outside an article, lists of mere links count as menus too. Where everything would be
+template (a host of copies), the template is ignored. Leaves are joined in page order by ``\\n``.
 
 Null html counts as empty, null urls as one host without a name. Repeated rows are counted and extracted one by one.
 An empty table gives no rows. Extra columns are ignored. Broken markup is read as far as it goes; nothing is capped.
@@ -40,6 +42,7 @@ WORDS = frozenset(
     "nav navbar navigation menu menus breadcrumb breadcrumbs header masthead topbar footer sidebar sidebars widget widgets ad ads advert adverts advertisement advertising adsense adslot banner promo promoted sponsor sponsored "
     "cookie cookies consent gdpr notice notices alert popup modal overlay toast paywall newsletter subscribe subscription signup login comment comments commentlist disqus replies respond discussion share sharing social related recommended pagination pager copyright skip".split()
 )
+STATES = frozenset("has no with without is not hide hidden show open closed disable disabled enable enabled".split())
 CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "p": "p"}
 
 _tag = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>""")
@@ -51,10 +54,10 @@ _ends = {name: re.compile(f"</{name}[^>]*>", re.I) for name in RAW}
 class Node:
     """An element (``tag``) or a text leaf (``tag`` empty); ``kind`` is what alignment compares."""
 
-    __slots__ = ("tag", "kind", "children", "text", "linked", "boiler", "number", "size", "shape")
+    __slots__ = ("tag", "kind", "children", "text", "linked", "boiler", "marked", "number", "size", "shape", "chars", "titled")
 
-    def __init__(self, tag: str, kind: str = "", boiler: bool = False):
-        self.tag, self.kind, self.boiler = tag, kind or tag, boiler
+    def __init__(self, tag: str, kind: str = "", boiler: bool = False, marked: bool = False):
+        self.tag, self.kind, self.boiler, self.marked = tag, kind or tag, boiler, marked
         self.children: list[Node] = []
         self.text, self.linked, self.number = "", 0, -1
 
@@ -66,7 +69,10 @@ def _names(attrs: str) -> tuple[str, set[str], str]:
         if k.lower() == "role":
             role = v.lower()
         else:
-            words.update(w.lower() for w in _word.findall(v))
+            for name in v.split():
+                parts = [w.lower() for w in _word.findall(name)]
+                if parts and parts[0] not in STATES and parts[-1] not in STATES:
+                    words.update(parts)
             kind += "." + v if k.lower() == "class" else ""
     return role, words, kind
 
@@ -149,8 +155,8 @@ def parse(page: str) -> Node:
             if stack[-1].tag == other:
                 close(other)
         role, words, kind = _names(attrs) if attrs else ("", set(), "")
-        boiler = name in BOILERPLATE or role in ROLES or bool(words & WORDS) or (name == "header" and not open_tags["article"])
-        node = Node(name, name + kind, boiler)
+        boiler = name in BOILERPLATE or role in ROLES or (name == "header" and not open_tags["article"])
+        node = Node(name, name + kind, boiler, bool(words & WORDS))
         stack[-1].children.append(node)
         if not attrs.endswith("/"):
             stack.append(node)
@@ -160,7 +166,8 @@ def parse(page: str) -> Node:
 
 
 def _measured(root: Node) -> Node:
-    """Numbers leaves in page order and sets every node's size and shape (equal for equal structures), without recursion."""
+    """Numbers leaves in page order and sets every node's size, shape (equal for equal structures), length of text and
+    whether it holds a title, without recursion."""
     order, todo, n = [], [root], 0
     while todo:
         node = todo.pop()
@@ -171,6 +178,8 @@ def _measured(root: Node) -> Node:
     for node in reversed(order):
         node.size = 1 + sum(c.size for c in node.children)
         node.shape = hash((node.kind, *[c.shape for c in node.children]))
+        node.chars = len(node.text) + sum(c.chars for c in node.children)
+        node.titled = node.tag == "h1" or any(c.titled for c in node.children)
     return root
 
 
@@ -241,7 +250,9 @@ def _leaves(node: Node, menus: bool) -> list[Node]:
         n = todo.pop()
         if not n.tag:
             out.append(n)
-        elif not (n is not node and n.boiler) and not (menus and n.tag in ("ul", "ol") and _mere_links(n)):
+            continue
+        beside = n is not node and (n.boiler or (n.marked and not n.titled and 2 * n.chars <= node.chars))
+        if not beside and not (menus and n.tag in ("ul", "ol") and _mere_links(n)):
             todo.extend(reversed(n.children))
     return out
 
@@ -257,20 +268,20 @@ def _mere_links(node: Node) -> bool:
 
 
 def content(root: Node) -> list[Node]:
-    """Leaves of the article: of the largest ``article``, else of ``main``, else of the page."""
-    found: dict[str, list[Node]] = {"article": [], "main": []}
-    todo = [root]
-    while todo:
-        n = todo.pop()
-        if n.boiler:
-            continue
-        if n.tag in found:
-            found[n.tag].append(n)
-        todo.extend(n.children)
+    """Leaves of the outermost articles, else of ``main``, else of the page; articles in regions that class or id mark only if there are no others."""
     for tag in ("article", "main"):
-        best = max(([sum(len(x.text) for x in leaves), leaves] for leaves in (_leaves(n, False) for n in found[tag])), key=lambda r: r[0], default=None)
-        if best and best[1]:
-            return best[1]
+        found: dict[bool, list[Node]] = {False: [], True: []}
+        todo = [(root, False)]
+        while todo:
+            n, marked = todo.pop()
+            marked = marked or n.marked
+            if n.tag == tag and not n.boiler:
+                found[marked].append(n)
+            elif not n.boiler:
+                todo.extend((c, marked) for c in reversed(n.children))
+        leaves = [x for n in found[False] or found[True] for x in _leaves(n, False)]
+        if leaves:
+            return leaves
     return _leaves(root, True)
 
 

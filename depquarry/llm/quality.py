@@ -6,7 +6,7 @@ characters). A line fails as
 * symbols: over a tenth of its word characters are one of ``#*$%&|<>``;
 * shouting: no ASCII small letter and ten or more ASCII capitals;
 * navigation: three or more words that are separators, and these are a fifth of its words or more;
-* boilerplate: 15 words or fewer and one of the phrases below;
+* boilerplate: 15 words or fewer and one of the phrases below (English, German, French, Spanish);
 * punctuation: fewer than 10 words and no closing punctuation at its end.
 
 A document is rejected if it fails the base rules (under 20 words; over 30 % of its words inside repeated 8-word
@@ -30,11 +30,11 @@ from ._common import map_batches, rolling, mix64, struct, table, texts_of
 SPACE = " \t\n\r\x0b\x0c"
 SYMBOLS = "#*$%&|<>"
 SEPARATORS = ("|", ">", "»", "·", "/")
-BOILERPLATE = r"all rights reserved|terms of (use|service)|privacy policy|cookie policy|uses? cookies|enable javascript|lorem ipsum|subscribe to our newsletter|click here|share on|sign in to|log in to"
-CLOSING = r"[.!?:;…。！？][\"'”’»)\]*]*$"
+BOILERPLATE = r"all rights reserved|terms of (use|service)|privacy policy|cookie policy|uses? cookies|enable javascript|lorem ipsum|subscribe to our newsletter|click here|share on|sign in to|log in to|alle rechte vorbehalten|datenschutzerkl|newsletter abonnieren|tous droits r.serv|politique de confidentialit|accepter les cookies|todos los derechos reservados|pol.tica de privacidad|aceptar (las )?cookies"
+CLOSING, CLOSERS = ".!?:;…。！？", "\"'”’»)]*"
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW, MAX_LOST_PERCENT = 20, 30, 8, 50
 
-_boiler, _closing, _lower, _words = re.compile(BOILERPLATE, re.I | re.A), re.compile(CLOSING), re.compile("[a-z]"), re.compile(r"[^\x20\x09-\x0D]+")
+_boiler, _lower, _words = re.compile(BOILERPLATE, re.I | re.A), re.compile("[a-z]"), re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def _chars(s: str) -> int:
@@ -48,14 +48,13 @@ def line_fails(line: str) -> bool:
         return True
     if not _lower.search(line) and sum(1 for c in line if "A" <= c <= "Z") >= 10:
         return True
-    end = line.rstrip(SPACE)
     if any(s in line for s in SEPARATORS):
         words = _words.findall(line)
         seps = sum(w in SEPARATORS for w in words)
         if seps >= 3 and 5 * seps >= len(words):
             return True
-    closed = _closing.search(end[-40:])
-    if not closed and len(_words.findall(line)) < 10:
+    closed = line.rstrip(SPACE).rstrip(CLOSERS)[-1:]
+    if (not closed or closed not in CLOSING) and len(_words.findall(line)) < 10:
         return True
     return bool(_boiler.search(line)) and len(_words.findall(line)) <= 15
 

@@ -147,6 +147,18 @@ def brute_match(a, b):
     return 1 + m[-1][-1]
 
 
+def test_class_words_alone_drop_no_main_text():
+    text = lambda body: extract.extracted(f"<html><body>{body}</body></html>", None, set())
+    long = "<p>" + "Much prose. " * 9 + "</p>"
+    prose = ("Much prose. " * 9).strip()
+    for open_, close in (('<div class="layout has-sidebar"><article>', "</article></div>"), ('<article class="post no-comments">', "</article>"), ('<div class="sidebar"><article>', "</article></div>"), ('<div class="widget">', "</div>"), ('<article class="comment">', "</article>")):
+        assert text(open_ + long + close) == prose
+    assert text(f"<article>{long}</article><article>{long}</article>") == f"{prose}\n{prose}"
+    assert text(f'<article>{long}<div class="share">Tell it.</div><div id="comments"><p>Yes!</p></div></article><div class="comments"><article>{long}</article></div>') == prose
+    assert text(f'<article><div class="header-banner"><h1>Title</h1></div>{long}</article>') == f"Title\n{prose}"
+    assert text(f'<div class="ad">Buy.</div><div class="body">{long}</div><ul><li><a href="/x">Home</a></li></ul>') == prose
+
+
 def test_alignment_is_simple_tree_matching():
     rng = random.Random(4)
 
@@ -431,7 +443,7 @@ def brute_pipeline(rows, items, model):
         first.setdefault(i, t)
     kept = {i: t for i, t in first.items() if comp[i] == i}
     index = decontaminate.WindowIndex(items)
-    kept = {i: t for i, t in kept.items() if index.document(t.encode())[1] is None}
+    kept = {i: t for i, t in kept.items() if index.scan(t.encode())[1] is None}
     tokenizer = Tokenizer.from_file(packing.default_tokenizer())
     out = {}
     for i, t in kept.items():

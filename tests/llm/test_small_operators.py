@@ -30,6 +30,12 @@ def test_repeat_words():
         assert quality.repeat_words(words) == brute_repeats(words)
 
 
+def test_closing_punctuation_behind_any_number_of_quotes():
+    for n in (0, 1, 39, 45, 5000):
+        assert not quality.line_fails("said so." + '"' * n) and quality.line_fails("said so" + '"' * n)
+    assert quality.line_fails('"' * 50) and quality.line_fails("Tous droits réservés.") and quality.line_fails("Alle Rechte vorbehalten!")
+
+
 def test_quality(spark):
     menu = "Home | News | Sport | Weather | Contact us"
     docs = awkward(spark, [(9, f"{menu}\n{PROSE}\nThe end.\nThe end."), (10, f"{menu}\n{menu} | {PROSE[:60]}\nshort line"), (11, (PROSE + " ") * 9)])
@@ -74,12 +80,15 @@ def test_contamination_against_brute_force(spark):
     key = lambda r: (str(r[0]), r[2:])
     strip = lambda rows: sorted(((r[0], *r[2:]) for r in rows), key=str)
     assert strip(found) == strip(want) and len(found) == d.count() and key
-    joined = [tuple(r) for r in decontaminate.find_contamination(d, b, max_broadcast_bytes=0).collect()]
+    joined = [tuple(r) for r in decontaminate.find_contamination(d, b, max_index_bytes=0).collect()]
     assert sorted(joined, key=str) == sorted(found, key=str)
     clean = decontaminate.decontaminate(d, b)
     assert clean.schema == d.schema and clean.count() == sum(not r[5] for r in found)
-    assert decontaminate.decontaminate(d, b, max_broadcast_bytes=0).count() == clean.count()
+    assert decontaminate.decontaminate(d, b, max_index_bytes=0).count() == clean.count()
     cut = decontaminate.decontaminate(d, b, "spans")
+    for how in ("documents", "spans"):  # the same on either side of the bound
+        inside, beyond = (sorted(map(str, decontaminate.decontaminate(d, b, how, max_index_bytes=m).collect())) for m in (1 << 27, 0))
+        assert inside == beyond
     assert cut.count() == d.count() and cut.filter("doc_id = 1").first().text == PROSE
     assert decontaminate.find_contamination(empty(spark), b).count() == 0
     assert decontaminate.find_contamination(d, b.limit(0)).filter("contaminated").count() == 0
