@@ -12,6 +12,7 @@ the longest one. The written table makes a lost executor cost no second tokenisa
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
@@ -25,25 +26,54 @@ WINDOW, END_ID, TOKENIZER = 4096, 2, "word_bpe_49k.json"
 #: Entries of a worker's word caches: one that keeps the first words seen (mostly frequent ones), one that is emptied when full.
 KEPT_WORDS, YOUNG_WORDS, LONG_WORD = 300_000, 150_000, 64
 _plain = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
-_loaded: dict[int, WordIds] = {}
+_loaded: dict[int, WholeIds] = {}
 
+# The settings of a tokenizer that lower-cases, drops white space and treats words by themselves.
+_BY_WORD = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
 
-class WordIds(dict):
-    """Ids of white-space-separated words, as bytes of unsigned 16-bit (or 32-bit) numbers.
 
-    The tokenizer drops white space and treats what lies between independently, so a text's ids are its words' ids in
-    a row. Words of plain letters and then plain punctuation are put together from those two parts.
-    """
+class WholeIds:
+    """Ids of whole texts by any tokenizer, as bytes of unsigned 16-bit (or 32-bit) numbers."""
 
     def __init__(self, tokenizer_json: str):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+
+    def of(self, text: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, self.dtype).tobytes()
+
+
+class WordIds(dict, WholeIds):
+    """The same where the tokenizer is ``_BY_WORD``: a text's ids are its words' ids in a row, and words are cached.
+
+    Words of plain letters and then plain punctuation are put together from those two parts.
+    """
+
+    def __init__(self, tokenizer_json: str):
+        from tokenizers import pre_tokenizers
+
+        WholeIds.__init__(self, tokenizer_json)
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {i: level.pre_tokenize_str(chr(i))[0][0] for i in [*range(97, 123), *range(0xDF, 0x100)] if i != 0xF7}
         self.young: dict[bytes, bytes] = {}
 
+    def of(self, text: bytes) -> bytes:
+        return b"".join(map(self.__getitem__, text.split()))
+
     def __missing__(self, word: bytes) -> bytes:
         ids = self.young.get(word)
         if ids is None:
@@ -69,10 +99,15 @@ class WordIds(dict):
         return np.array([t.id for t in self.tokenizer.model.tokenize(low.translate(self.letters))], self.dtype).tobytes()
 
 
-def word_ids(tokenizer_json: str) -> WordIds:
-    key = hash(tokenizer_json)
+def ids_by(tokenizer_json: str, end_id: int) -> WholeIds:
+    """A worker's loaded tokenizer; word by word where its settings allow that, else text by text."""
+    key = hash((tokenizer_json, end_id))
     if key not in _loaded:
-        _loaded[key] = WordIds(tokenizer_json)
+        spec = json.loads(tokenizer_json)
+        by_word = all(spec.get(k) == v for k, v in _BY_WORD.items()) and spec["model"]["type"] == "BPE"
+        _loaded[key] = (WordIds if by_word else WholeIds)(tokenizer_json)
+        if end_id >= 1 << 8 * _loaded[key].dtype.itemsize:
+            _loaded[key].dtype = np.dtype("<u4")
     return _loaded[key]
 
 
@@ -87,10 +122,10 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> Data
     done: dict[int, int] = {}  # of this task: tokens so far by partition
 
     def fn(batch: pa.RecordBatch) -> dict:
-        words = word_ids(shipped.value)
-        end = np.array([end_id], words.dtype).tobytes()
-        ids = [b"".join([*map(words.__getitem__, t.split()), end]) for t in bytes_of(batch)]
-        n = np.fromiter(map(len, ids), np.int64, len(ids)) // words.dtype.itemsize
+        tokenizer = ids_by(shipped.value, end_id)
+        end = np.array([end_id], tokenizer.dtype).tobytes()
+        ids = [tokenizer.of(t) + end for t in bytes_of(batch)]
+        n = np.fromiter(map(len, ids), np.int64, len(ids)) // tokenizer.dtype.itemsize
         part = batch.column("part")[0].as_py()
         start = done.get(part, 0) + np.cumsum(n) - n
         done[part] = int(start[-1] + n[-1])

@@ -7,10 +7,13 @@ Reading: continuation records are grouped by their origin's identifier, ordered
 stated total length, and the chunked framing is decoded; digest and length are checked against the record's header.
 
 Archives are written and listed by Spark (gzip text files whose rows end in the record terminator), so any store that
-Spark reaches will do. A file holds ``RECORDS_PER_FILE`` records at most; a reader streams through it.
+Spark reaches will do. A record holds ``segment_bytes`` of block at most and a file ``RECORDS_PER_FILE`` records or
+``FILE_BYTES`` of blocks, whichever is less; a reading task holds one file, compressed, and streams through it. What
+becomes a revisit is decided on digests alone; payloads are shuffled only where the list of revisits is too long to
+broadcast (``MAX_BROADCAST_BYTES``), and then by page, never by payload.
 
-Null html counts as empty; null urls have no target URI. Repeated rows are repeated records (equal ones share an
-identifier; their equal segments are told apart by counting). Of equal payloads with a tie for the largest page_id, each
+Null html counts as empty; null urls have no target URI. Repeated rows are repeated records, with identifiers of their
+own; archives by others in which equal records share an identifier are read as well. Of equal payloads with a tie for the largest page_id, each
 of the tied rows is a response. Null page ids are archived without one and never revisited. An empty table makes an
 empty archive and no rows. Extra columns are ignored. A broken archive is an error, never a missing row.
 """
@@ -28,9 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import arrow_type, map_batches, scratch_path, struct, table
+from ._common import arrow_type, map_batches, scratch_path, struct, table, written
 
 SEGMENT_BYTES, CHUNK_BYTES, REVISIT_BYTES, RECORDS_PER_FILE = 32 << 10, 8 << 10, 1000, 2000
+FILE_BYTES, MAX_BROADCAST_BYTES = 64 << 20, 32 << 20
 DATE = "1970-01-01T00:00:00Z"
 _END = "\r\n\r\n"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -62,18 +66,23 @@ def _record(fields: list[tuple[str, object]], block: bytes) -> bytes:
     return "\r\n".join(["WARC/1.1", *lines]).encode() + b"\r\n\r\n" + block
 
 
-def record_id(page_id: int | None, url: str | None, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}\n{digest}\n{url}')}>"
+def record_id(page_id: int | None, url: str | None, digest: str, copy: int | None = None) -> str:
+    """The identifier of a page's record; ``copy`` tells repeated rows apart."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}\n{digest}\n{url}' + ('' if copy is None else f'\n{copy}'))}>"
 
 
-def records_of(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, segment: int = SEGMENT_BYTES, size: int = CHUNK_BYTES) -> Iterator[bytes]:
-    """The WARC records of one page."""
+def _uri(url: str | None) -> str | None:
+    return url and url.replace("\r", "%0D").replace("\n", "%0A")
+
+
+def records_of(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None = None, refers_url: str | None = None, refers_known: bool = False, copy: int | None = None, segment: int = SEGMENT_BYTES, size: int = CHUNK_BYTES) -> Iterator[bytes]:
+    """The WARC records of one page; a revisit names the record it refers to where that is one of a kind (``refers_known``)."""
     digest = hashlib.sha1(payload).hexdigest()
-    name = record_id(page_id, url, digest)
-    uri = url and url.replace("\r", "%0D").replace("\n", "%0A")
+    name, uri = record_id(page_id, url, digest, copy), _uri(url)
     fields = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", name), ("WARC-Date", DATE), ("WARC-Target-URI", uri), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Page-ID", page_id), ("X-Payload-Length", len(payload)), ("Content-Type", "application/http;msgtype=response")]
     if refers_to is not None:
-        yield _record([*fields, ("WARC-Profile", _PROFILE), ("X-Refers-To-Page-ID", refers_to)], _HTTP[:-2] + b"\r\n")
+        original = [("WARC-Refers-To", record_id(refers_to, refers_url, digest) if refers_known else None), ("WARC-Refers-To-Target-URI", _uri(refers_url)), ("WARC-Refers-To-Date", DATE)]
+        yield _record([*fields, ("WARC-Profile", _PROFILE), *original, ("X-Refers-To-Page-ID", refers_to)], _HTTP)
         return
     block = _HTTP + chunked(payload, size)
     if len(block) <= segment:
@@ -87,28 +96,39 @@ def records_of(page_id: int | None, url: str | None, payload: bytes, refers_to:
         yield _record(more + ([("WARC-Segment-Total-Length", len(block))] if n == len(parts) else []), part)
 
 
-def write_warc(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES, records_per_file: int = RECORDS_PER_FILE) -> None:
+def _marks(rows: DataFrame) -> DataFrame:
+    """(page_id, sha, refers_to, refers_url, refers_known, repeated) of the revisits and the repeated rows, by digests alone."""
+    keys = rows.filter((F.col("n") >= REVISIT_BYTES) & F.col("page_id").isNotNull()).groupBy("page_id", "sha", "n").agg(F.count("*").alias("c"), F.max("url").alias("url"))
+    keys = written(keys, "digests")
+    tops = keys.groupBy("sha", "n").agg(F.max(F.struct("page_id", "c", "url")).alias("top"), F.sum("c").alias("copies")).filter("copies > 1").select("sha", "n", "top")
+    found = keys.join(tops, ["sha", "n"]).select("page_id", "sha", F.when(F.col("page_id") < F.col("top.page_id"), F.col("top.page_id")).alias("refers_to"), F.col("top.url").alias("refers_url"), (F.col("top.c") == 1).alias("refers_known"), (F.col("c") > 1).alias("repeated"))
+    return written(found.filter("refers_to is not null or repeated"), "marks")
+
+
+def write_warc(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES, records_per_file: int = RECORDS_PER_FILE, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> None:
     """Archives of ``pages`` (page_id, url, html) under ``path``."""
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload")).withColumns({"sha": F.sha1("payload"), "n": F.octet_length("payload")})
-    tops = rows.filter((F.col("n") >= REVISIT_BYTES) & F.col("page_id").isNotNull()).groupBy("sha", "n").agg(F.max("page_id").alias("top"), F.count("*").alias("copies")).filter("copies > 1").select("sha", "n", "top")
-    marked = rows.join(tops, ["sha", "n"], "left").select("page_id", "url", "payload", F.when(F.col("page_id") < F.col("top"), F.col("top")).alias("refers_to"))
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload")).withColumns({"sha": F.unhex(F.sha1("payload")), "n": F.octet_length("payload")})
+    marks = _marks(rows)
+    size = marks.agg(F.sum(F.coalesce(F.octet_length("refers_url"), F.lit(0)) + 64)).first()[0] or 0
+    marked = rows.join(F.broadcast(marks) if size <= max_broadcast_bytes else marks.hint("merge"), ["page_id", "sha"], "left")
+    marked = marked.select("page_id", "url", "payload", "refers_to", "refers_url", F.coalesce("refers_known", F.lit(False)), F.when(F.col("repeated"), F.monotonically_increasing_id()))
+    per_file = max(1, min(records_per_file, FILE_BYTES // segment_bytes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held, size = [], 0
             for row in range(batch.num_rows):
-                page_id, url, payload, refers = (batch.column(i)[row].as_py() for i in range(4))
-                for r in records_of(page_id, url, payload, refers, segment_bytes, chunk_bytes):
+                for r in records_of(*(batch.column(i)[row].as_py() for i in range(7)), segment_bytes, chunk_bytes):
                     held.append(r)
                     size += len(r)
-                if size > 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["value"])
-                    held, size = [], 0
+                    if size > 4 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["value"])
+                        held, size = [], 0
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["value"])
 
     records = marked.mapInArrow(run, struct(value="binary"))
-    records.select(F.col("value").cast("string")).write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    records.select(F.col("value").cast("string")).write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
 def parse_records(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:

@@ -267,20 +267,43 @@ def test_warc_round_trip(spark, tmp_path):
         assert by[1].record_type == by[3].record_type == "revisit" and by[1].refers_to == 10 and by[1].payload is None and by[1].payload_bytes == 5000
         assert by[10].record_type == by[8].record_type == by[9].record_type == by[6].record_type == by[None].record_type == "response"
         assert by[2].payload == html[2].encode() and by[4].payload == b"" and by[11].payload_digest == hashlib.sha1(b"z" * 70_000).hexdigest()
+    shuffled = str(tmp_path / "shuffled")
+    warc.write_warc(pages, shuffled, max_broadcast_bytes=-1)
+    assert sorted(map(str, warc.read_warc(spark, shuffled).collect())) == sorted(map(str, got))
     warc.write_warc(pages.limit(0), str(tmp_path / "none"))
     with pytest.raises(Exception, match="differs|short|segment"):
         list(warc.parse_records(__import__("io").BytesIO(b"WARC/1.1\r\nContent-Length: 5\r\n\r\nabc")))
 
 
+def test_large_pages_and_many_equal_rows(spark, tmp_path):
+    big = {i: chr(96 + i) * (10 << 20) for i in (1, 2)}
+    rows = [(i, f"http://h/{i}", h) for i, h in big.items()] + [(3, "http://h/3", big[1])] + [(9, "http://h/9", "e" * 40_000)] * 10_000
+    path = str(tmp_path / "large")
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4), path)
+    got = warc.read_warc(spark, path, with_payload=False)
+    count = {tuple(r)[:2]: r["count"] for r in got.groupBy("page_id", "record_type", "payload_digest").count().select("page_id", "record_type", "count").collect()}
+    assert count == {(1, "revisit"): 1, (2, "response"): 1, (3, "response"): 1, (9, "response"): 10_000}
+    assert got.filter("page_id = 1").first().refers_to == 3 and got.filter("page_id = 2").first().payload_bytes == 10 << 20
+    texts = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").collect()
+    records = [f for r in texts for f, _ in warc.parse_records(__import__("io").BytesIO(__import__("gzip").decompress(r.content)))]
+    first = [f for f in records if f["warc-type"] != "continuation"]
+    assert len({f["warc-record-id"] for f in records}) == len(records)
+    revisit = next(f for f in first if f["warc-type"] == "revisit")
+    assert [f["x-page-id"] for f in first if f["warc-record-id"] == revisit["warc-refers-to"]] == ["3"]
+
+
 # packing
 
 
-def test_packing(spark):
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_packing(spark, name):
+    import public_tokenizers
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
-    docs = awkward(spark, [(20, "It's <|endoftext|>, don't ÀÉ!!x 12.5 İ ΣΑΣ \x1cx ªµ½"), (21, "rock'n'roll " * 4000)]).repartition(3)
-    pieces = packing.pack(docs, packing.default_tokenizer(), window=512).collect()
+    path = public_tokenizers.path(name)
+    tokenizer = Tokenizer.from_file(path)
+    docs = awkward(spark, [(20, "It's <|endoftext|>, don't ÀÉ!!x 12.5 İ ΣΑΣ \x1cx ªµ½"), (21, "rock'n'roll " * 4000), (22, "Hello World  of tokens")]).repartition(3)
+    pieces = packing.pack(docs, path, window=512).collect()
     texts = docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).collect()
     for d in texts:
         ids = tokenizer.encode(d.text or "", add_special_tokens=False).ids + [2]
@@ -296,9 +319,13 @@ def test_packing(spark):
     for s, spans in sequences.items():
         ends = [o + n for o, n in sorted(spans)]
         assert [o for o, _ in sorted(spans)] == [0, *ends[:-1]] and (ends[-1] == 512 or s == max(sequences))
-    one = packing.digest(packing.pack(docs, packing.default_tokenizer())).first()
-    assert one.ids_crc32 >= 0 and zlib.crc32(b"") == 0
-    assert packing.pack(empty(spark), packing.default_tokenizer()).count() == 0
+    whole = {r.doc_id: r for r in packing.digest(packing.pack(docs.filter("doc_id in (8, 20, 22)").coalesce(1), path)).collect()}
+    for d in texts:
+        if d.doc_id in whole:
+            ids = tokenizer.encode(d.text, add_special_tokens=False).ids + [2]
+            assert whole[d.doc_id].ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes()) and whole[d.doc_id].length == len(ids)
+    assert len(whole) == 3
+    assert packing.pack(empty(spark), path).count() == 0
 
 
 # chat
