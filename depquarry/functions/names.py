@@ -6,12 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# What the end of a name tells, the first that holds.
+SUFFIXES = ((".h", "header"), (".o", "object"), (".a", "archive"), (".js", "javascript"))
+
+
 def detect_type(name: Column) -> Column:
     """header, object, archive, javascript, system or target; the first rule that holds counts."""
-    kinds = ((".h", "header"), (".o", "object"), (".a", "archive"), (".js", "javascript"))
-    out = None
-    for suffix, kind in kinds:
-        out = (F if out is None else out).when(name.endswith(suffix), kind)
+    out = F
+    for suffix, kind in SUFFIXES:
+        out = out.when(name.endswith(suffix), kind)
     return out.when(name.startswith("/"), "system").otherwise("target")
 
 

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.names import SUFFIXES
 from ..operators.ingest import assemble_build_objects, attach_symbols, dedupe_build_objects, override_libdeps
 
 
@@ -41,14 +42,12 @@ _node = re.compile(r"(.*?)\+-(.*)")
 
 
 def _kind(parent: str, ordinal: int, name: str) -> str:
+    """``classify_child`` for one node: a child's type hangs on its parent's, so the parse tells it on the way down."""
     if parent == "object":
         return "source" if ordinal == 1 else "header"
     if parent == "archive":
         return "object"
-    for suffix, kind in ((".h", "header"), (".o", "object"), (".a", "archive"), (".js", "javascript")):
-        if name.endswith(suffix):
-            return kind
-    return "system" if name.startswith("/") else "target"
+    return next((kind for suffix, kind in SUFFIXES if name.endswith(suffix)), "system" if name.startswith("/") else "target")
 
 
 def tree_rows(tree_id: str, lines: list[tuple[int, str]]) -> list[list]:
