@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import detect_type, joined
 from ..operators import filegraph, libs, lookups, modules, names, symbols, traversals
 from ..schema import RELATIONSHIPS, Graph
+from ..storage import written
 from . import testgraph
 
 _OBJ = "'build/' || CASE WHEN o_orderpriority = '5-LOW' THEN 'client_build/' ELSE '' END || 'o' || o_orderkey || CASE WHEN o_orderstatus = 'P' THEN '_test' ELSE '' END || '.o'"
@@ -130,6 +133,20 @@ def lookup(spark, sf_dir, g):
     return found.select(F.lit("children").alias("lookup"), "item", joined(F.col("deps")).alias("deps"), F.size("deps").cast("long").alias("n"))
 
 
+_LOOKUPS = ", ".join(f"('{what}', '{relationship}')" for what, (relationship, _) in lookups.LOOKUPS.items())
+
+
+@_query(f"SELECT lookup, item, string_agg(dep, ',' ORDER BY dep) AS deps, count(*) AS n FROM edges JOIN (VALUES {_LOOKUPS}) v(lookup, relationship) USING (relationship) GROUP BY lookup, item")
+def lookup_every(spark, sf_dir, g):
+    """All eleven lookups, each of every name that has something to look up."""
+    g = Graph(written(g.edges, "edges"), written(g.nodes, "nodes"))  # read eleven times
+    parts = []
+    for what, (relationship, _) in lookups.LOOKUPS.items():
+        items = g.rel(relationship).select("item").distinct().select(F.col("item").alias("query_id"), F.lit(0).alias("input_ord"), F.col("item").alias("name"))
+        parts.append(lookups.lookup(g, what, items).select(F.lit(what).alias("lookup"), "item", joined(F.col("deps")).alias("deps"), F.size("deps").cast("long").alias("n")))
+    return reduce(DataFrame.unionAll, parts)
+
+
 @_query("SELECT name AS item, coalesce(string_agg(dep, ',' ORDER BY dep), '') AS deps FROM obj LEFT JOIN symdefs ON name = item GROUP BY name")
 def graph_get(spark, sf_dir, g):
     return _flat(lookups.graph_get(g, "file_to_symbol_definitions", g.rel("file_to_source").select(F.col("item").alias("name"))))
@@ -488,3 +505,102 @@ def read_graph(spark, sf_dir, g):
     path = scratch_path(spark, "graph-json")
     export_graph_json(g, path)
     return import_graph_json(spark, path).edges
+
+
+_EXCLUDED = "'sym_' || p_partkey FROM part WHERE p_partkey % 3 = 0"
+
+
+@_query(f"SELECT DISTINCT archive, h.dep AS needed FROM need JOIN definers USING (symbol) JOIN holders h ON h.item = only_one WHERE n = 1 AND symbol NOT IN (SELECT {_EXCLUDED})")
+def libs_needed_exclude(spark, sf_dir, g):
+    hidden = spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_partkey % 3 = 0").select(F.concat(F.lit("sym_"), F.col("p_partkey").cast("string")).alias("symbol"))
+    return libs.libs_needed_good(g, _archives(g), hidden).select(F.col("query_id").alias("archive"), F.col("archive").alias("needed"))
+
+
+_EXTRA_INFO = '{"version_info": {"branch": "main", "hash": "abc", "tag": "(no tag)"}, "build_info": {"flags": ["-O2", "-g"], "platform": "linux"}}'
+
+
+@_query("SELECT 'main' AS branch, 'abc' AS hash, '(no tag)' AS tag, '-O2 -g' AS flags, 'linux' AS platform, count(*) AS n_edges FROM edges")
+def attach_extra_info(spark, sf_dir, g):
+    """Through storage and through the interchange form, beside the edges."""
+    from ..sources.graph_io import export_graph_json, import_graph_json, read_graph, write_graph
+    from ..storage import scratch_path
+
+    one, two = scratch_path(spark, "graph"), scratch_path(spark, "graph-json")
+    write_graph(Graph(g.edges, g.nodes, lookups.attach_extra_info(spark, 1, sf_dir, _EXTRA_INFO)), one)
+    export_graph_json(read_graph(spark, one, with_meta=True), two)
+    back = import_graph_json(spark, two, with_meta=True)
+    n = back.edges.agg(F.count("*").alias("n_edges"))
+    return lookups.version_and_build_info(back.meta).select("branch", "hash", "tag", F.array_join("flags", " ").alias("flags"), "platform").join(F.broadcast(n))
+
+
+_TITLES = "'System ' || r_name AS system_title, 'What # ' || lower(r_name) || '_does.' || chr(10) || 'More.' AS system_description, 'Module ' || n_name AS module_title, 'All of ' || lower(n_name) || '_code.' AS module_description, 'Files_of ' || c_mktsegment AS group_description"
+_TITLED = f"""SELECT r_regionkey, n_nationkey, lower(r_name) AS system_name, lower(n_name) AS module_name, ascii(c_mktsegment) AS group_ord, c_mktsegment AS group_title, 'src/o' || o_orderkey || '.cpp' AS file, {_TITLES}
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
+
+
+def _through_files(spark: SparkSession, structure: DataFrame) -> DataFrame:
+    from ..sources.graph_io import read_modules, write_modules
+    from ..storage import scratch_path
+
+    path = scratch_path(spark, "modules")
+    write_modules(structure, path)
+    return read_modules(spark, path)
+
+
+@_query(f"SELECT system_name, module_name, group_title, file, system_title, system_description, module_title, module_description, group_description FROM ({_TITLED})")
+def write_modules(spark, sf_dir, g):
+    """Flat rows written, read back and made flat again."""
+    flat = modules.flatten_modules(_through_files(spark, testgraph.modules(spark, sf_dir)))
+    return flat.select("system_name", "module_name", "group_title", "file", *modules.TEXTS)
+
+
+@_query(f"""SELECT dense_rank() OVER (ORDER BY r_regionkey) - 1 AS system_pos, system_name, system_title, n_modules, n_groups, n_files FROM
+(SELECT r_regionkey, system_name, system_title, count(DISTINCT module_name) AS n_modules, count(DISTINCT module_name || group_title) AS n_groups, count(*) AS n_files FROM ({_TITLED}) GROUP BY ALL)""")
+def read_modules(spark, sf_dir, g):
+    """The nested structure as it comes from its file."""
+    groups = F.flatten(F.transform("system_modules", lambda m: m["module_groups"]))
+    size = lambda c: F.size(c).cast("long")
+    return _through_files(spark, testgraph.modules(spark, sf_dir)).select(F.col("system_pos").cast("long").alias("system_pos"), "system_name", "system_title", size("system_modules").alias("n_modules"), size(groups).alias("n_groups"), size(F.flatten(F.transform(groups, lambda x: x["group_files"]))).alias("n_files"))
+
+
+_MD = lambda c: f"ltrim(replace(replace(replace({c}, '#', ' '), '_', '\\_'), chr(10), chr(10) || chr(10)))"
+_ESC = lambda c: f"replace({c}, '_', '\\_')"
+
+
+def _group_page_sql(rows: str, folder: str) -> str:
+    title, verb, about, nothing = (x.replace("\n", "") for x in modules._PHRASES[folder])
+    other = f"'    - [' || {_ESC('o.file')} || '](../../../../' || {_ESC('o.system_name')} || '/' || {_ESC('o.module_name')} || ')' || chr(10)"
+    return f"""SELECT k.system_name || '/' || k.module_name || '/{folder}/' || k.group_ord || '/README.md' AS relative_path,
+chr(10) || '# {title} for ' || k.group_title || chr(10) || '{about}' || chr(10) || coalesce(t, '{nothing}' || chr(10)) AS markdown
+FROM (SELECT DISTINCT system_name, module_name, group_ord, group_title FROM titled) k LEFT JOIN (
+  SELECT system_name, module_name, group_ord, string_agg(chr(10) || '### ' || {_ESC('file')} || chr(10) || t, '' ORDER BY file) AS t FROM (
+    SELECT system_name, module_name, group_ord, file, string_agg(chr(10) || '<div></div>' || chr(10) || chr(10) || '    ' || symbol || chr(10) || chr(10) || '- {verb}:' || chr(10) || chr(10) || t, '' ORDER BY symbol) AS t FROM (
+      SELECT k.system_name, k.module_name, k.group_ord, k.file, r.symbol, string_agg({other}, '' ORDER BY o.file) AS t
+      FROM {rows} r JOIN titled k ON k.file = r.file JOIN titled o ON o.file = r.other_file WHERE o.module_name <> k.module_name GROUP BY ALL) GROUP BY ALL) GROUP BY ALL) p
+ON p.system_name = k.system_name AND p.module_name = k.module_name AND p.group_ord = k.group_ord"""
+
+
+_PAGES = (
+    _REPORT[: _REPORT.index("SELECT system_name, module_name, group_ord, group_title, hier.file")]
+    + f""", titled AS ({_TITLED}),
+grp AS (SELECT n_nationkey, system_name, module_name, module_title, module_description, group_ord, group_title, group_description, string_agg('- [' || {_ESC('file')} || '](https://example.org/tree/main/' || file || ')   (' || coalesce(e, '') || ')' || chr(10), '' ORDER BY file) AS files FROM titled LEFT JOIN ex ON f = file GROUP BY ALL)
+SELECT system_name || '/' || module_name || '/README.md' AS relative_path, '# ' || module_title || chr(10) || {_MD('module_description')} || chr(10) || chr(10)
+ || string_agg(chr(10) || '-------------' || chr(10) || chr(10) || '## ' || group_title || chr(10) || {_MD('group_description')} || chr(10) || chr(10) || '#### Files' || chr(10) || files || chr(10) || '#### [Interface](interface/' || group_ord || ')' || chr(10) || chr(10) || '#### [Dependencies](dependencies/' || group_ord || ')' || chr(10), '' ORDER BY group_ord) AS markdown
+FROM grp GROUP BY system_name, module_name, module_title, module_description
+UNION ALL SELECT system_name || '/README.md', '# ' || system_title || chr(10) || chr(10) || {_MD('system_description')} || chr(10) || chr(10) || '## Modules' || chr(10) || chr(10) || string_agg('### [' || module_title || '](' || {_ESC('module_name')} || ')' || chr(10) || {_MD('module_description')} || chr(10) || chr(10), '' ORDER BY n_nationkey)
+FROM (SELECT DISTINCT n_nationkey, system_name, system_title, system_description, module_name, module_title, module_description FROM titled) GROUP BY system_name, system_title, system_description
+UNION ALL SELECT 'README.md', '# Codebase map' || chr(10) || 'Generated pages.' || chr(10) || chr(10) || '* Build flags: -O2 -g' || chr(10) || '* Build platform: linux' || chr(10) || '* Version hash: abc' || chr(10) || '* Version branch: main' || chr(10) || '* Version tag: (no tag)' || chr(10) || '* URL: https://example.org/tree/main/' || chr(10) || chr(10)
+ || string_agg('## [' || system_title || '](' || {_ESC('system_name')} || ')' || chr(10) || {_MD('system_description')} || chr(10) || chr(10), '' ORDER BY r_regionkey) FROM (SELECT DISTINCT r_regionkey, system_name, system_title, system_description FROM titled)
+UNION ALL """
+    + _group_page_sql("fi", "interface")
+    + " UNION ALL "
+    + _group_page_sql("fd", "dependencies")
+)
+
+
+@_query(_PAGES)
+def module_pages(spark, sf_dir, g):
+    flat = testgraph.modules(spark, sf_dir)
+    version = lookups.version_and_build_info(lookups.attach_extra_info(spark, 1, sf_dir, _EXTRA_INFO))
+    report = modules.module_report(g, flat, version, "https://example.org/tree/", testgraph.programs(spark, sf_dir))
+    return modules.report_pages(report, modules.module_interface(g, flat), modules.module_dependencies(g, flat), flat, version, "https://example.org/tree/")

@@ -52,7 +52,7 @@ def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flat hierarchy: system = region, module = nation, group = market segment, files = sources of its customers' orders."""
+    """Flat hierarchy with titles and descriptions: system = region, module = nation, group = market segment, files = sources of its customers' orders."""
     n, r = _table(spark, sf_dir, "nation"), _table(spark, sf_dir, "region")
     c = _table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     o = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
@@ -60,4 +60,6 @@ def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         F.col("r_regionkey").alias("system_pos"), F.lower("r_name").alias("system_name"), F.col("n_nationkey").alias("module_pos"), F.lower("n_name").alias("module_name"),
         F.ascii("c_mktsegment").alias("group_ord"), F.col("c_mktsegment").alias("group_title"), F.col("o_orderkey").alias("file_pos"), F.concat(F.lit("src/o"), F.col("o_orderkey").cast("string"), F.lit(".cpp")).alias("file"),
+        F.concat(F.lit("System "), "r_name").alias("system_title"), F.concat(F.lit("What # "), F.lower("r_name"), F.lit("_does.\nMore.")).alias("system_description"), F.concat(F.lit("Module "), "n_name").alias("module_title"),
+        F.concat(F.lit("All of "), F.lower("n_name"), F.lit("_code.")).alias("module_description"), F.concat(F.lit("Files_of "), "c_mktsegment").alias("group_description"),
     )

@@ -16,18 +16,24 @@ def _definers(graph: Graph) -> DataFrame:
     return pairs.groupBy(F.col("item").alias("symbol")).agg(F.count("*").alias("n"), F.min("dep").alias("only"))
 
 
-def libs_needed_good(graph: Graph, names: DataFrame) -> DataFrame:
-    """(query_id, input_ord, name) -> (query_id, archive): what holds the uniquely defined symbols in use."""
-    needed = symbol_info(graph, names, 1).select("query_id", "symbol").distinct()
+def _needed(graph: Graph, names: DataFrame, exclude: DataFrame | None) -> DataFrame:
+    needed = symbol_info(graph, names, 1)
+    return needed if exclude is None else needed.join(exclude.select("symbol").distinct(), "symbol", "left_anti")
+
+
+def libs_needed_good(graph: Graph, names: DataFrame, exclude: DataFrame | None = None) -> DataFrame:
+    """(query_id, input_ord, name) -> (query_id, archive): what holds the uniquely defined symbols in use. ``exclude``
+    (symbol): symbols not to be looked for."""
+    needed = _needed(graph, names, exclude).select("query_id", "symbol").distinct()
     unique = _definers(graph).filter("n = 1").select("symbol", F.col("only").alias("object"))
     holders = graph.rel("dependency_to_targets").select(F.col("item").alias("object"), F.col("dep").alias("archive"))
     return needed.join(unique, "symbol").select("query_id", "object").distinct().join(holders, "object").select("query_id", "archive").distinct()
 
 
-def libs_needed_bad(graph: Graph, names: DataFrame) -> DataFrame:
+def libs_needed_bad(graph: Graph, names: DataFrame, exclude: DataFrame | None = None) -> DataFrame:
     """(query_id, input_ord, archive, object, symbol, candidates): one row per needing row of an ambiguous symbol, with
     the sorted archives that could provide it (maybe none)."""
-    needed = symbol_info(graph, names, 1)
+    needed = _needed(graph, names, exclude)
     many = _definers(graph).filter("n > 1").select("symbol")
     pairs = graph.rel("symbol_to_file_sources").filter(~is_client(F.col("dep"))).select(F.col("item").alias("symbol"), F.col("dep").alias("object")).join(many, "symbol", "left_semi")
     holders = graph.rel("dependency_to_targets").select(F.col("item").alias("object"), F.col("dep").alias("archive"))

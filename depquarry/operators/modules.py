@@ -18,11 +18,26 @@ UNCATEGORIZED = {"system_name": "uncategorized_system", "module_name": "uncatego
 NAME_RULE, TITLE_RULE = "^[_a-z0-9]*$", "^[ a-zA-Z0-9]*$"
 
 
+#: Columns of flat rows that only describe; an operator that needs none of them takes rows without.
+TEXTS = ("system_title", "system_description", "module_title", "module_description", "group_description")
+
+
 def flatten_modules(systems: DataFrame) -> DataFrame:
-    """(system_pos, nested) -> (system_pos, system_name, module_pos, module_name, group_ord, group_title, file_pos, file)."""
-    m = systems.select("system_pos", "system_name", F.posexplode("system_modules").alias("module_pos", "m"))
-    g = m.select("system_pos", "system_name", "module_pos", "m.module_name", F.posexplode("m.module_groups").alias("group_ord", "g"))
-    return g.select("system_pos", "system_name", "module_pos", "module_name", "group_ord", "g.group_title", F.posexplode("g.group_files").alias("file_pos", "file"))
+    """(system_pos, nested) -> (system_pos, system_name, module_pos, module_name, group_ord, group_title, file_pos, file)
+    and the ``TEXTS``. What holds no file has no row."""
+    system = ["system_pos", "system_name", "system_title", "system_description"]
+    m = systems.select(*system, F.posexplode("system_modules").alias("module_pos", "m"))
+    module = [*system, "module_pos", "m.module_name", "m.module_title", "m.module_description"]
+    g = m.select(*module, F.posexplode("m.module_groups").alias("group_ord", "g"))
+    names = [c.removeprefix("m.") for c in module]
+    flat = g.select(*names, "group_ord", "g.group_title", "g.group_description", F.posexplode("g.group_files").alias("file_pos", "file"))
+    first = ["system_pos", "system_name", "module_pos", "module_name", "group_ord", "group_title", "file_pos", "file"]
+    return flat.select(*first, *TEXTS)
+
+
+def with_texts(flat: DataFrame) -> DataFrame:
+    """Flat rows with null for the ``TEXTS`` that they lack."""
+    return flat.withColumns({c: F.lit(None).cast("string") for c in TEXTS if c not in flat.columns})
 
 
 def _owner(flat: DataFrame, col: str) -> DataFrame:
@@ -101,9 +116,9 @@ def file_dependencies(graph: Graph, sources: DataFrame) -> DataFrame:
 def _outside(flat: DataFrame, found: DataFrame) -> DataFrame:
     """Rows whose other file is in another module than the listed file, or in none."""
     listed = flat.select("system_name", "module_name", "group_ord", "group_title", "file").distinct()
-    owner = file_to_module(flat).select(F.col("file").alias("other_file"), F.col("module_name").alias("other_module"))
+    owner = file_to_module(flat).join(file_to_system(flat), "file").select(F.col("file").alias("other_file"), F.col("module_name").alias("other_module"), F.col("system_name").alias("other_system"))
     rows = listed.join(found, "file").join(owner, "other_file", "left")
-    return rows.filter(~F.col("other_module").eqNullSafe(F.col("module_name"))).select("system_name", "module_name", "group_ord", "group_title", "file", "symbol", "other_file", "other_module")
+    return rows.filter(~F.col("other_module").eqNullSafe(F.col("module_name"))).select("system_name", "module_name", "group_ord", "group_title", "file", "symbol", "other_file", "other_module", "other_system")
 
 
 def module_interface(graph: Graph, flat: DataFrame) -> DataFrame:
@@ -144,24 +159,79 @@ def module_report(graph: Graph, flat: DataFrame, version: DataFrame, base_url: s
     return out.select(*keys, F.coalesce("executables", F.lit("")).alias("executables"), url.alias("url"), F.coalesce("n_interface", zero).alias("n_interface"), F.coalesce("n_dependencies", zero).alias("n_dependencies"))
 
 
-def report_pages(report: DataFrame, interface_rows: DataFrame, dependency_rows: DataFrame, flat: DataFrame) -> DataFrame:
-    """(relative_path, markdown): a page per module and, per group, one for its interface and one for its dependencies."""
-    esc = lambda c: F.replace(F.col(c), F.lit("_"), F.lit("\\_"))
-    line = F.concat(F.lit("- ["), esc("file"), F.lit("]("), F.col("url"), F.lit(")   ("), F.col("executables"), F.lit(")\n"))
-    groups = report.groupBy("system_name", "module_name", "group_ord", "group_title").agg(F.array_join(F.array_sort(F.collect_list(line)), "").alias("files"))
-    section = F.concat(F.lit("\n-------------\n\n## "), F.coalesce("group_title", F.lit("")), F.lit("\n#### Files\n"), "files", F.lit("\n#### [Interface](interface/"), F.col("group_ord").cast("string"), F.lit(")\n\n#### [Dependencies](dependencies/"), F.col("group_ord").cast("string"), F.lit(")\n"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("group_ord", section.alias("text")))), lambda x: x["text"]), "")
-    modules = groups.groupBy("system_name", "module_name").agg(F.concat(F.lit("# "), F.first("module_name"), F.lit("\n"), body).alias("markdown")).select(F.concat_ws("/", "system_name", "module_name", F.lit("README.md")).alias("relative_path"), "markdown")
-    keys = ["system_name", "module_name", "group_ord", "group_title"]
-    every = flat.select(*keys).distinct()
+# The phrases of report pages.
+_PHRASES = {
+    "interface": ("Interface", "Used By", "This interface information represents symbols that are defined in this group but used in other modules.  Does not include symbols defined in this group that are used inside this module.\n", "(not used outside this module)\n"),
+    "dependencies": ("Dependencies", "Provided By", "This dependency information represents symbols that are used in this group but defined in other modules.  Does not include symbols used in this group that are defined inside this module.\n", "(no dependencies outside this module)\n"),
+}
+
 
-    def pages(rows: DataFrame, folder: str, title: str, verb: str, nothing: str) -> DataFrame:
-        entry = F.concat(F.lit("\n### "), esc("file"), F.lit("\n\n<div></div>\n\n    "), "symbol", F.lit(f"\n\n- {verb}:\n\n"), F.array_join(F.transform(F.sort_array(F.collect_set("other_file")), lambda x: F.concat(F.lit("    - "), F.replace(x, F.lit("_"), F.lit("\\_")))), "\n"), F.lit("\n"))
-        symbols = rows.groupBy(*keys, "file", "symbol").agg(entry.alias("text"))
-        texts = symbols.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("text")), "").alias("text"))
-        head = F.concat(F.lit(f"\n# {title} for "), F.coalesce("group_title", F.lit("")), F.lit("\n"))
-        path = F.concat_ws("/", "system_name", "module_name", F.lit(folder), F.col("group_ord").cast("string"), F.lit("README.md"))
-        match = reduce(Column.__and__, [every[k].eqNullSafe(texts[k]) for k in keys])
-        return every.join(texts, match, "left").select(*[every[k] for k in keys], "text").select(path.alias("relative_path"), F.concat(head, F.coalesce("text", F.lit(nothing))).alias("markdown"))
+def _text(*parts: str | Column) -> Column:
+    """Columns and literal texts in a row, null as empty."""
+    return F.concat(*[F.lit(p) if isinstance(p, str) else F.coalesce(p, F.lit("")) for p in parts])
 
-    return modules.unionAll(pages(interface_rows, "interface", "Interface", "Used By", "(not used outside this module)\n")).unionAll(pages(dependency_rows, "dependencies", "Dependencies", "Provided By", "(no dependencies outside this module)\n"))
+
+def _escaped(name: str | Column) -> Column:
+    return F.replace(F.col(name) if isinstance(name, str) else name, F.lit("_"), F.lit("\\_"))
+
+
+def _in_order(at: str, text: Column) -> Column:
+    """Aggregate: texts in the order of a column, in a row."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, text.alias("text")))), lambda x: x["text"]), "")
+
+
+def _group_pages(rows: DataFrame, folder: str, flat: DataFrame) -> DataFrame:
+    """The interface or dependency page of every group; a file in a module links to it."""
+    keys = ["system_name", "module_name", "group_ord", "group_title"]
+    title, verb, about, nothing = _PHRASES[folder]
+    one = F.struct("other_file", F.when(F.col("other_module").isNull(), _escaped("other_file")).otherwise(_text("[", _escaped("other_file"), "](../../../../", _escaped("other_system"), "/", _escaped("other_module"), ")")).alias("link"))
+    others = F.array_join(F.transform(F.array_sort(F.collect_set(one)), lambda x: _text("    - ", x["link"], "\n")), "")
+    symbols = rows.groupBy(*keys, "file", "symbol").agg(_text("\n<div></div>\n\n    ", F.col("symbol"), f"\n\n- {verb}:\n\n", others).alias("text"))
+    files = symbols.groupBy(*keys, "file").agg(_text("\n### ", _escaped("file"), "\n", _in_order("symbol", F.col("text"))).alias("text"))
+    texts = files.groupBy(*keys).agg(_in_order("file", F.col("text")).alias("text"))
+    every = flat.select(*keys).distinct()
+    match = reduce(Column.__and__, [every[k].eqNullSafe(texts[k]) for k in keys])
+    path = F.concat_ws("/", "system_name", "module_name", F.lit(folder), F.col("group_ord").cast("string"), F.lit("README.md"))
+    pages = every.join(texts, match, "left").select(*[every[k] for k in keys], "text")
+    return pages.select(path.alias("relative_path"), _text(f"\n# {title} for ", F.col("group_title"), "\n", about, F.coalesce("text", F.lit(nothing))).alias("markdown"))
+
+
+def _module_pages(report: DataFrame, flat: DataFrame) -> DataFrame:
+    module = ["system_name", "module_name"]
+    line = _text("- [", _escaped("file"), "](", F.col("url"), ")   (", F.col("executables"), ")\n")
+    groups = report.groupBy(*module, "group_ord", "group_title").agg(_in_order("file", line).alias("files"))
+    said = flat.groupBy(*module, "group_ord").agg(F.first("group_description", True).alias("about"))
+    number = F.col("group_ord").cast("string")
+    section = _text("\n-------------\n\n## ", F.col("group_title"), "\n", cleaned(F.col("about")), "\n\n#### Files\n", F.col("files"), "\n#### [Interface](interface/", number, ")\n\n#### [Dependencies](dependencies/", number, ")\n")
+    bodies = groups.join(said, [*module, "group_ord"], "left").groupBy(*module).agg(_in_order("group_ord", section).alias("body"))
+    heads = flat.groupBy(*module).agg(F.first("module_title", True).alias("title"), F.first("module_description", True).alias("about"))
+    head = _text("# ", F.coalesce("title", "module_name"), "\n", cleaned(F.col("about")), "\n\n", F.col("body"))
+    return bodies.join(heads, module).select(F.concat_ws("/", *module, F.lit("README.md")).alias("relative_path"), head.alias("markdown"))
+
+
+def _system_pages(flat: DataFrame) -> DataFrame:
+    modules = flat.groupBy("system_name", "module_name").agg(*[F.first(c, True).alias(c) for c in ("system_title", "system_description", "module_title", "module_description")], F.min("module_pos").alias("at"))
+    entry = _text("### [", F.coalesce("module_title", "module_name"), "](", _escaped("module_name"), ")\n", cleaned(F.col("module_description")), "\n\n")
+    systems = modules.groupBy("system_name").agg(F.first("system_title", True).alias("title"), F.first("system_description", True).alias("about"), _in_order("at", entry).alias("body"))
+    return systems.select(_text(F.col("system_name"), "/README.md").alias("relative_path"), _text("# ", F.coalesce("title", "system_name"), "\n\n", cleaned(F.col("about")), "\n\n## Modules\n\n", F.col("body")).alias("markdown"))
+
+
+def _project_page(flat: DataFrame, version: DataFrame, base_url: str, title: str, about: str) -> DataFrame:
+    """The top page: what was built, then every system with its description."""
+    v = version.withColumns({c: F.lit(None).cast(t) for c, t in (("flags", "array<string>"), ("platform", "string")) if c not in version.columns}).withColumn("file", F.lit(""))
+    built = _text("* Build flags: ", F.array_join("flags", " "), "\n* Build platform: ", F.col("platform"), "\n* Version hash: ", F.col("hash"), "\n* Version branch: ", F.col("branch"), "\n* Version tag: ", F.col("tag"), "\n* URL: ", resource_url(base_url, version), "\n\n")
+    systems = flat.groupBy("system_name").agg(F.first("system_title", True).alias("title"), F.first("system_description", True).alias("about"), F.min("system_pos").alias("at"))
+    entry = _text("## [", F.coalesce("title", "system_name"), "](", _escaped("system_name"), ")\n", cleaned(F.col("about")), "\n\n")
+    body = systems.agg(_in_order("at", entry).alias("body")).select("body", F.lit(1).alias("one"))  # one row a system
+    head = v.limit(1).select(built.alias("built"), F.lit(1).alias("one"))
+    return head.join(F.broadcast(body), "one").select(F.lit("README.md").alias("relative_path"), _text(f"# {title}\n{about}\n\n", F.col("built"), F.col("body")).alias("markdown"))
+
+
+def report_pages(report: DataFrame, interface_rows: DataFrame, dependency_rows: DataFrame, flat: DataFrame, version: DataFrame | None = None, base_url: str = "", title: str = "Codebase map", about: str = "Generated pages.") -> DataFrame:
+    """(relative_path, markdown): a page per system and module and, per group, one for its interface and one for its
+    dependencies; with ``version`` (the row of ``version_and_build_info``) also the project's page."""
+    flat = with_texts(flat)
+    parts = [_system_pages(flat), _module_pages(report, flat), _group_pages(interface_rows, "interface", flat), _group_pages(dependency_rows, "dependencies", flat)]
+    if version is not None:
+        parts.append(_project_page(flat, version, base_url, title, about))
+    return reduce(DataFrame.unionAll, parts)

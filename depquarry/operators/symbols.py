@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.names import is_client, is_object
 from ..schema import Graph
+from ..storage import written
 from .traversals import closure, symbol_family_paths
 
+FEW_HOLDERS = 64
 SYMBOL_EDGES = {"dependency": "file_to_symbol_dependencies", "definition": "file_to_symbol_definitions"}
 
 
@@ -42,18 +44,23 @@ def symbol_providers(graph: Graph) -> DataFrame:
     return direct.union(defined.join(parts, "object").select("symbol", "node")).distinct()
 
 
-def direct_leaks(graph: Graph, names: DataFrame, ignore: DataFrame | None = None, exclude: DataFrame | None = None) -> DataFrame:
+def direct_leaks(graph: Graph, names: DataFrame, ignore: DataFrame | None = None, exclude: DataFrame | None = None, few_holders: int = FEW_HOLDERS) -> DataFrame:
     """(query_id, input_ord, name) -> (query_id, symbol, object, archive): symbols used but defined nowhere in the
     closure of the names and of ``ignore`` (query_id, name), though defined by somebody.
 
-    Work is bounded by what is needed: each needed symbol's holders are tested for membership in the query's closure,
-    instead of listing all symbols of all closures. ``exclude`` (symbol) hides rows of the result.
+    A symbol of ``FEW_HOLDERS`` or fewer is looked for among its holders: each is tested for membership in the query's
+    closure. The few symbols with more are looked for from the closure's side, so no symbol pairs all who need it with
+    all who hold it. ``exclude`` (symbol) hides rows of the result.
     """
-    needed = symbol_info(graph, names, 1, "dependency")
+    needed = written(symbol_info(graph, names, 1, "dependency"), "needed")
     roots = names.select("query_id", "name")
     reach = closure(graph, roots if ignore is None else roots.union(ignore.select("query_id", "name")))
     wanted = needed.select("query_id", "symbol").distinct()
-    found = wanted.join(symbol_providers(graph), "symbol").join(reach.select("query_id", "node"), ["query_id", "node"], "left_semi").select("query_id", "symbol").distinct()
+    providers = written(symbol_providers(graph), "providers")
+    held_by_many = written(providers.groupBy("symbol").agg(F.count("*").alias("n")).filter(F.col("n") > few_holders).select("symbol"), "held-by-many")
+    few = wanted.join(providers.join(held_by_many, "symbol", "left_anti"), "symbol").join(reach.select("query_id", "node"), ["query_id", "node"], "left_semi").select("query_id", "symbol")
+    many = reach.select("query_id", "node").join(providers.join(held_by_many, "symbol", "left_semi"), "node").select("query_id", "symbol").distinct()
+    found = few.union(many).distinct()
     known = graph.rel("symbol_to_file_sources").select(F.col("item").alias("symbol")).distinct()
     out = needed.join(found, ["query_id", "symbol"], "left_anti").join(known, "symbol", "left_semi")
     if exclude is not None:

@@ -21,7 +21,7 @@ def walk(pairs: DataFrame, starts: DataFrame, levels: int | None = None, with_pa
     of its shortest paths. ``levels``: how deep to go; None or below 1 is all the way.
     """
     bound = levels if levels and levels > 0 else None
-    pairs = pairs.select(F.col("item").alias("node"), F.col("dep").alias("next")).distinct()
+    pairs = written(pairs.select(F.col("item").alias("node"), F.col("dep").alias("next")).distinct(), "pairs")  # every round joins them; small ones are broadcast by size
     seen = starts.select("query_id", "node").distinct().withColumn("level", F.lit(1).cast("long"))
     if with_path:
         seen = seen.withColumn("path", F.array("node"))

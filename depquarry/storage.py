@@ -11,9 +11,13 @@ _OWN_DIR: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """``spark.checkpoint.dir``. Only a session whose tasks all run in the driver's own process may lack it: that gets a
+    folder of its own; on a cluster a folder that executors cannot see would lose rows, so there it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = _OWN_DIR.setdefault("dir", tempfile.mkdtemp(prefix="depquarry-"))
     return base.rstrip("/")
 

@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-CHECKED = ["generate_edges", "collect_nodes", "expand_file_names", "lookup", "closure", "direct_leaks", "interface", "libs_needed_good", "libs_needed_bad", "libs_cycle", "extra_libdeps_precise", "file_graph", "exec_digest", "file_family_paths", "flatten_modules", "diff_modules", "module_interface"]
+CHECKED = ["generate_edges", "collect_nodes", "expand_file_names", "lookup", "closure", "direct_leaks", "interface", "libs_needed_good", "libs_needed_bad", "libs_cycle", "extra_libdeps_precise", "file_graph", "exec_digest", "file_family_paths", "flatten_modules", "diff_modules", "module_interface", "module_pages", "write_modules", "read_modules", "attach_extra_info", "parse_build_tree", "generate_edges_of_records"]
 
 
 @pytest.fixture(scope="module")
