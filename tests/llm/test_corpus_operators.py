@@ -383,6 +383,13 @@ def test_passage_twice_in_one_text(spark, seed):
     assert found_in(spark, docs[:1])[1][0].dup_words == 0  # what only one text holds links nothing
 
 
+def test_repeats_of_linked_spans():
+    assert passages.with_repeats([10], [70], [(200, 260, 10, 70)], 50) == [(10, 70), (200, 260)]
+    assert passages.with_repeats([10], [40], [(200, 260, 10, 70)], 50) == [(10, 40)]
+    assert passages.with_repeats([0], [60], [(20, 90_000, 0, 89_980)], 50) == [(0, 90_000)]
+    assert passages.with_repeats([500], [560], [(100, 1000, 0, 900)], 50) == [(a, a + 60) for a in range(0, 1000, 100)]
+
+
 def test_fuzzy_passages_against_brute_force(spark):
     """All pairs of holders of passages with words changed by chance: from the first to the last word that agrees there
     are 50 words or more, 0.8 of them equal or more."""
