@@ -486,6 +486,22 @@ def test_pipeline(spark, tmp_path):
     assert not {100, 101, 103, 105} & set(got) and 104 in got
 
 
+def test_pipeline_takes_awkward_rows(spark, tmp_path):
+    awkward(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    items = spark.createDataFrame([(1, None), (2, "")], "item_id long, text string")
+    items.write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0) for r in rows if r.start == 0) == [0, 1]  # of the copies the smallest id, and the row without one
+    docs = awkward(spark)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == awkward(spark).columns
+        assert stage(spark, empty(spark), str(tmp_path)).count() == 0
+    empty(spark).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    items.limit(0).write.parquet(str(tmp_path / "none" / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_registry(spark):
     import __spark_entry__ as entry
 
