@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir); ``run`` writes what a stage returns as Parquet into the shared folder and hands
 the reread table to the next. All but the last return the columns of ``documents``.
+
+For every stage: a null text counts as empty (it has no words, so ``quality`` rejects it; the later stages keep it as it
+is). Rows without a doc_id cannot be named, so ``near_dedup`` keeps them all; rows of one doc_id are one document there,
+that of the smallest text stays; elsewhere repeated rows are handled one by one. Of a group of near copies the smallest
+doc_id stays, so ties cannot occur. An empty table gives an empty table, an empty benchmark removes nothing. Further
+columns of ``documents`` are carried to the last stage but one, whatever their names. Texts are handled whole.
 """
 
 from __future__ import annotations
