@@ -31,8 +31,8 @@ N, MAX_INDEX_BYTES = 10, 128 << 20
 #: Every byte as the word rule sees it: capitals become small letters, what is in no word becomes a space.
 _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
-#: Bytes of the index for each benchmark word beside the word itself: its place, its window's hash, place, bounds and item.
-_WORD_BYTES = 48
+#: Bytes of the index for each benchmark word beside the word itself: its window's hash, bounds and item, and 32 flags.
+_WORD_BYTES = 64
 
 
 def words_of(raw: bytes) -> list[bytes]:
@@ -66,21 +66,27 @@ class WindowIndex:
         for k in np.unique(length).tolist():
             here = np.flatnonzero(length == k)
             here = here[np.lexsort((item[here], hashes[here]))]
-            self.tables[k] = hashes[here], first[here], end[here], item[here].astype(np.int32)
+            bits = max(8, len(here).bit_length() + 4)
+            maybe = np.zeros(1 << bits, bool)  # one look at it tells nearly every window that is not there
+            maybe[(hashes[here] >> np.uint64(64 - bits)).astype(np.int64)] = True
+            self.tables[k] = hashes[here], first[here], end[here], item[here].astype(np.int32), maybe, np.uint64(64 - bits)
 
     def scan(self, raw: bytes) -> tuple[int, np.ndarray | None, set[int]]:
         """Number of words, the hit words (None: none) and the items of verified occurrences."""
         line = raw.translate(_TO_WORDS)
         ids = word_hashes(line)
         cover, items, words = None, set(), None
-        for k, (hashes, first, end, item) in self.tables.items():
+        for k, (hashes, first, end, item, maybe, shift) in self.tables.items():
             h = rolling(ids, k)
-            at = np.searchsorted(hashes, h)
-            at[at == len(hashes)] = 0
-            for p in np.flatnonzero(hashes[at] == h).tolist():
+            here = np.flatnonzero(maybe[(h >> shift).astype(np.int64)])
+            if not len(here):
+                continue
+            low, high = np.searchsorted(hashes, h[here], "left"), np.searchsorted(hashes, h[here], "right")
+            for j in np.flatnonzero(high > low).tolist():
+                p = int(here[j])
                 words = line.split() if words is None else words
                 window = b" ".join(words[p : p + k])
-                for w in range(int(at[p]), int(np.searchsorted(hashes, h[p], "right"))):
+                for w in range(int(low[j]), int(high[j])):
                     if self.text[first[w] : end[w]] == window:
                         items.add(int(item[w]))
                         cover = np.zeros(len(ids), bool) if cover is None else cover
