@@ -438,12 +438,12 @@ def brute_pipeline(rows, items, model):
     docs = [(i, "\n".join(j[7])) for i, t in rows if (j := quality.judge(t or ""))[6]]
     fps = {}
     for i, t in sorted(docs):
-        fps.setdefault(i, simhash.fingerprint(simhash.shingle_hashes(t.encode())))
+        fps.setdefault(i, int.from_bytes(simhash.wide_fingerprint(t.encode()).tobytes(), "little"))
     comp = {i: i for i in fps}
     for _ in fps:
         for a in fps:
             for b in fps:
-                if (fps[a] ^ fps[b]).bit_count() <= 3:
+                if (fps[a] ^ fps[b]).bit_count() <= simhash.WIDE_RADIUS:
                     comp[a] = min(comp[a], comp[b])
     first = {}
     for i, t in sorted(docs):

@@ -183,20 +183,20 @@ def test_bit_sliced_distances():
     fps[1], fps[70], fps[129] = fps[0] ^ np.uint64(7), fps[0] ^ np.uint64(1 << 40), fps[64]
     planes = simhash.bit_planes(fps)
     q, block = np.repeat(np.arange(130), len(planes)), np.tile(np.arange(len(planes)), 130)
-    for radius in (0, 1, 3, 5):
+    for radius in (0, 1, 3, 5, 28):
         pair, lane = simhash.within_radius(planes, fps[q], block, radius)
         got = {(int(q[p]), int(block[p]) * 64 + int(x)) for p, x in zip(pair, lane) if block[p] * 64 + x < 130}
         assert got == {(i, j) for i in range(130) for j in range(130) if int(fps[i] ^ fps[j]).bit_count() <= radius}
 
 
-def brute_components(ids, fps):
+def brute_components(ids, fps, radius=3):
     comp = dict(zip(ids, ids))
     changed = True
     while changed:
         changed = False
         for a, x in zip(ids, fps):
             for b, y in zip(ids, fps):
-                if (x ^ y).bit_count() <= 3 and comp[b] < comp[a]:
+                if (x ^ y).bit_count() <= radius and comp[b] < comp[a]:
                     comp[a], changed = comp[b], True
     return comp
 
@@ -219,7 +219,8 @@ def test_near_duplicates(spark):
     assert {r.fingerprint for r in got if r.doc_id in (2, 3, 4)} == {"0" * 16}
     kept = simhash.deduplicate(d)
     assert kept.schema == d.schema
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(want.values()))
+    ids, fps = zip(*[(r.doc_id, int.from_bytes(simhash.wide_fingerprint((r.text or "").encode()).tobytes(), "little")) for r in d.collect() if r.doc_id is not None])
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(brute_components(ids, fps, simhash.WIDE_RADIUS).values()))
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
@@ -236,6 +237,53 @@ def test_dense_keys_lose_no_link(spark):
     assert groups(full) == groups({signed(k): signed(v) for k, v in want.items()})
 
 
+def noisy(rng, bases, n, flips):
+    out = bases[rng.integers(len(bases), size=n)].copy()
+    for row in out:
+        for x in rng.choice(256, rng.integers(0, flips), replace=False):
+            row[x // 64] ^= np.uint64(1 << int(x % 64))
+    return out
+
+
+def test_forest_against_all_pairs():
+    """Groups below and above the size from which leaders go first."""
+    rng = np.random.default_rng(5)
+    bases = rng.integers(0, 2**63, (5, 4), dtype=np.uint64)
+    fps = np.concatenate([noisy(rng, bases, 500, 40), rng.integers(0, 2**63, (100, 4), dtype=np.uint64), noisy(rng, bases, 37, 30)])
+    starts = np.array([0, 600, 603, 637])
+    labels = simhash.forest(fps, starts, 42)
+    plain = [int.from_bytes(x.tobytes(), "little") for x in fps]
+    for a, b in zip(starts, starts[1:]):
+        want = brute_components(range(a, b), plain[a:b], 42)
+        groups = lambda of: {frozenset(i for i in range(a, b) if of[i] == v) for v in {of[i] for i in range(a, b)}}
+        assert groups(want) == groups(labels)
+    assert simhash.forest(fps[:0], np.zeros(1, np.int64), 42).tolist() == []
+
+
+def test_similar_documents_by_similarity(spark):
+    """Pairs at a 5-word similarity of 0.8 to 0.95, some words substituted; strangers stay apart; groups dealt in small chunks too."""
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(20000)]
+    docs, like, unlike = [], [], []
+    for g in range(150):
+        words = rng.choices(vocabulary, k=rng.choice((100, 300)))
+        other = list(words)
+        for _ in range(rng.randrange(1, 1 + len(words) // 25)):
+            other[rng.randrange(len(words))] = rng.choice(vocabulary)
+        a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (words, other))
+        (like if 5 * len(a & b) >= 4 * len(a | b) else unlike).append(2 * g)
+        docs += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(other))]
+    many = rng.choices(vocabulary, k=200)
+    docs += [(1000 + i, " ".join(many + rng.choices(vocabulary, k=5))) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for chunk in (simhash.CHUNK, 16):
+        comp = dict(map(tuple, simhash.similar_documents(df, chunk=chunk).collect()))
+        assert all(comp[i] in (i, i - i % 2) for i in range(300))
+        assert sum(comp[i + 1] == i for i in like) >= 0.95 * len(like) and len(like) > 90
+        assert all(comp[1000 + i] == 1000 for i in range(60))
+    assert simhash.similar_documents(empty(spark)).count() == 0
+
+
 # WARC
 
 
