@@ -268,7 +268,7 @@ def test_similar_documents_by_similarity(spark):
     for g in range(150):
         words = rng.choices(vocabulary, k=rng.choice((100, 300)))
         other = list(words)
-        for _ in range(rng.randrange(1, 1 + len(words) // 25)):
+        for _ in range(rng.randrange(1, 1 + len(words) // 40)):
             other[rng.randrange(len(words))] = rng.choice(vocabulary)
         a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (words, other))
         (like if 5 * len(a & b) >= 4 * len(a | b) else unlike).append(2 * g)
