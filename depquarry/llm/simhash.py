@@ -38,7 +38,7 @@ from .components import connected_components
 
 SHINGLE, SEED, RADIUS, CHUNK, HOT = 3, 42, 3, 4096, 1000
 BLOCKS = (11, 11, 11, 11, 10, 10)
-WIDE_SHINGLE, WIDE_RADIUS, KEY_BITS, KEY_ROUNDS = 5, 42, 16, 3
+WIDE_SHINGLE, WIDE_RADIUS, KEY_BITS, KEY_ROUNDS = 5, 44, 16, 3
 WIDE = ("f0", "f1", "f2", "f3")
 _PAIRS_AT_ONCE = 1 << 15
 _LEADERS, _LEAD_FROM = 8, 256
