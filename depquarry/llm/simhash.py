@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._common import bytes_of, map_batches, map_sorted_groups, mix64, rolling, struct, table, word_hashes, written
@@ -40,6 +41,7 @@ SHINGLE, SEED, RADIUS, CHUNK, HOT = 3, 42, 3, 4096, 1000
 BLOCKS = (11, 11, 11, 11, 10, 10)
 WIDE_SHINGLE, WIDE_RADIUS, KEY_BITS, KEY_ROUNDS = 5, 44, 16, 3
 WIDE = ("f0", "f1", "f2", "f3")
+CONTRACTIONS = 2
 _PAIRS_AT_ONCE = 1 << 15
 _LEADERS, _LEAD_FROM = 8, 256
 
@@ -266,7 +268,18 @@ def wide_links(distinct: DataFrame, radius: int = WIDE_RADIUS, key_bits: int = K
     hot = F.col("n") * HOT >= distinct.count()
     hot_keys, cold_keys = F.broadcast(met.filter(hot)), met.filter(~hot)
     rows = keys.join(hot_keys.select("key"), "key", "left_anti").join(cold_keys, "key").unionByName(keys.join(hot_keys, "key"))
-    return map_sorted_groups(_dealt(rows, ["id", *WIDE], chunk), ["key", "lo", "hi"], fn, struct(a="long", b="long"))
+    links = map_sorted_groups(_dealt(rows, ["id", *WIDE], chunk), ["key", "lo", "hi"], fn, struct(a="long", b="long"), order=["id"])
+    for _ in range(CONTRACTIONS):
+        links = contracted(links)
+    return links
+
+
+def contracted(links: DataFrame) -> DataFrame:
+    """The same components from fewer links (a, b): what an ``a`` is linked with is hung on the smallest of it. An ``a``
+    has a link a key and chunk at most, so no group is large."""
+    least = F.least("a", F.min("b").over(W.partitionBy("a")))
+    hung = links.distinct().select("a", "b", least.alias("to"))
+    return hung.select(F.explode(F.array("a", "b")).alias("a"), F.col("to").alias("b")).filter("a <> b").distinct()
 
 
 def similar_documents(docs: DataFrame, shingle: int = WIDE_SHINGLE, radius: int = WIDE_RADIUS, key_bits: int = KEY_BITS, rounds: int = KEY_ROUNDS, chunk: int = CHUNK) -> DataFrame:
