@@ -43,11 +43,9 @@ leaked AS (SELECT n.* FROM need n WHERE symbol IN (SELECT dep FROM symdefs)
   AND NOT EXISTS (SELECT 1 FROM own o JOIN closed ON closed.node = o.archive WHERE closed.q = n.archive AND o.symbol = n.symbol)),
 definers AS (SELECT dep AS symbol, count(*) AS n, min(item) AS only_one FROM symdefs WHERE NOT contains(item, 'client_build') GROUP BY dep),
 ledges AS (SELECT DISTINCT archive AS src, h.dep AS dst FROM need JOIN definers USING (symbol) JOIN holders h ON h.item = only_one WHERE n = 1),
-small AS (SELECT src, dst FROM ledges WHERE regexp_full_match(src, 'lib([0-9]|[0-9][0-9]|1[0-4][0-9])[.]a') AND regexp_full_match(dst, 'lib([0-9]|[0-9][0-9]|1[0-4][0-9])[.]a')),
 hier AS (SELECT lower(r_name) AS system_name, lower(n_name) AS module_name, ascii(c_mktsegment) AS group_ord, c_mktsegment AS group_title, 'src/o' || o_orderkey || '.cpp' AS file
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
 """
-_SMALL = "lib([0-9]|[0-9][0-9]|1[0-4][0-9])[.]a"
 
 
 def _roots(spark: SparkSession, *texts: str) -> DataFrame:
@@ -63,11 +61,6 @@ def _archives(g: Graph) -> DataFrame:
     return libs.all_archives(g)
 
 
-def _small_edges(g: Graph) -> DataFrame:
-    rule = f"^{_SMALL}$"
-    return libs.lib_edges(g).filter(F.col("src").rlike(rule) & F.col("dst").rlike(rule))
-
-
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -274,33 +267,18 @@ def lib_edges(spark, sf_dir, g):
     return libs.lib_edges(g)
 
 
-_CYCLE = ", cyc AS (SELECT src AS q, dst AS node, 1::BIGINT AS hops FROM small UNION SELECT q, dst, hops + 1 FROM cyc JOIN small ON node = src WHERE hops < 30), met AS (SELECT q, node, min(hops) AS hops FROM cyc GROUP BY q, node) "
+#: All archives and any number of hops: each pair is kept once, at its first level.
+_CYCLE = """, met(q, node, hops) USING KEY (q, node) AS (SELECT src, dst, 1::BIGINT FROM ledges
+UNION SELECT m.q, e.dst, min(m.hops) + 1 FROM met m JOIN ledges e ON m.node = e.src LEFT JOIN recurring.met r ON r.q = m.q AND r.node = e.dst WHERE r.q IS NULL GROUP BY m.q, e.dst) """
 
 
 @_query(_CYCLE + "SELECT q AS archive, hops FROM met WHERE q = node")
 def libs_cycle(spark, sf_dir, g):
-    edges = _small_edges(g)
-    roots = edges.select(F.col("src").alias("query_id"), F.col("src").alias("archive")).distinct()
-    return traversals.libs_cycle(edges, roots).select(F.col("target").alias("archive"), "hops")
+    return traversals.shortest_cycles(libs.lib_edges(g))
 
 
 @_query(_CYCLE + "SELECT a.q AS archive, min(b.q) AS cycle FROM met a JOIN met b ON a.q = b.node AND a.node = b.q GROUP BY a.q")
 def lib_cycles_all(spark, sf_dir, g):
-    return traversals.lib_cycles_all(_small_edges(g))
-
-
-#: As ``_CYCLE`` over all archives and any number of hops: each pair is kept once, at its first level.
-_WHOLE_CYCLE = """, met(q, node, hops) USING KEY (q, node) AS (SELECT src, dst, 1::BIGINT FROM ledges
-UNION SELECT m.q, e.dst, min(m.hops) + 1 FROM met m JOIN ledges e ON m.node = e.src LEFT JOIN recurring.met r ON r.q = m.q AND r.node = e.dst WHERE r.q IS NULL GROUP BY m.q, e.dst) """
-
-
-@_query(_WHOLE_CYCLE + "SELECT q AS archive, hops FROM met WHERE q = node")
-def libs_cycle_whole(spark, sf_dir, g):
-    return traversals.shortest_cycles(libs.lib_edges(g))
-
-
-@_query(_WHOLE_CYCLE + "SELECT a.q AS archive, min(b.q) AS cycle FROM met a JOIN met b ON a.q = b.node AND a.node = b.q GROUP BY a.q")
-def lib_cycles_whole(spark, sf_dir, g):
     return traversals.lib_cycles_all(libs.lib_edges(g))
 
 

@@ -35,7 +35,7 @@ LARGER = "/root/testdata/sf0.01"
 
 
 @pytest.mark.skipif(not os.path.isdir(LARGER), reason="no tables here")
-@pytest.mark.parametrize("name", ["libs_cycle_whole", "lib_cycles_whole"])
+@pytest.mark.parametrize("name", ["libs_cycle", "lib_cycles_all"])
 def test_cycles_of_all_archives(spark, name):
     con = duckdb.connect()
     for f in os.listdir(LARGER):
