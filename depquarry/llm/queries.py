@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, extract, lm, packing, passages, pii, quality, simhash, warc
+from . import chat, decontaminate, divergence, extract, lm, packing, passages, pii, quality, simhash, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_packing": packing.op9_packing,
     "op10_chat": chat.op10_chat,
+    "op11_divergence": divergence.op11_divergence,
 }
 
 ORACLES = {
     "op1_decontamination": decontaminate.OP1_SQL,
     "op7_quality_rules": quality.OP7_SQL,
     "op8_warc": warc.OP8_SQL,
+    "op11_divergence": divergence.OP11_SQL,
 }
