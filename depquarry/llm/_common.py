@@ -208,6 +208,18 @@ def map_sorted_groups(df: DataFrame, keys: list[str], fn: Callable[[dict[str, li
     return df.repartition(n, *cols).sortWithinPartitions(*cols, *[F.col(c) for c in order or []]).mapInArrow(run, schema)
 
 
+#: Keys of a thousandth of all rows or more are a thousand at most.
+HOT_SHARE = 1000
+
+
+def join_hot(rows: DataFrame, named: DataFrame, on: list[str], weight: str) -> DataFrame:
+    """Inner join of ``rows`` with ``named``, which has one row a key and, as ``weight``, how many rows of ``rows`` about
+    meet it. The keys of a thousandth of the weight or more, a thousand at most, are broadcast; the rest is shuffled."""
+    hot = F.col(weight) * HOT_SHARE >= (named.agg(F.sum(weight)).first()[0] or 0)
+    hot_ids, cold_ids = F.broadcast(named.filter(hot).drop(weight)), named.filter(~hot).drop(weight)
+    return rows.join(hot_ids, on).unionByName(rows.join(hot_ids.select(*on), on, "left_anti").join(cold_ids, on))
+
+
 SIEVE_BITS, _SEGMENTS = 31, 8
 
 

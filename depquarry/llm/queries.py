@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, divergence, extract, lm, packing, passages, pii, quality, simhash, warc
+from . import chat, circulant, decontaminate, divergence, extract, lm, packing, passages, pii, prefixes, quality, simhash, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_packing": packing.op9_packing,
     "op10_chat": chat.op10_chat,
     "op11_divergence": divergence.op11_divergence,
+    "op12_circulant_minhash": circulant.op12_circulant_minhash,
+    "op13_prefix_trie": prefixes.op13_prefix_trie,
 }
 
 ORACLES = {
@@ -23,4 +25,6 @@ ORACLES = {
     "op7_quality_rules": quality.OP7_SQL,
     "op8_warc": warc.OP8_SQL,
     "op11_divergence": divergence.OP11_SQL,
+    "op12_circulant_minhash": circulant.OP12_SQL,
+    "op13_prefix_trie": prefixes.OP13_SQL,
 }
