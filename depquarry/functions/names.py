@@ -18,6 +18,16 @@ def detect_type(name: Column) -> Column:
     return out.when(name.startswith("/"), "system").otherwise("target")
 
 
+def child_type(parent: str, ordinal: int, name: str) -> str:
+    """For one node: under an object the first child is its source and the rest headers, under an archive every child is
+    an object, else the name tells. A type hangs on the parent's, so the parse of a tree tells it on the way down."""
+    if parent == "object":
+        return "source" if ordinal == 1 else "header"
+    if parent == "archive":
+        return "object"
+    return next((kind for suffix, kind in SUFFIXES if name.endswith(suffix)), "system" if name.startswith("/") else "target")
+
+
 def is_object(name: Column) -> Column:
     return name.endswith(".o")
 

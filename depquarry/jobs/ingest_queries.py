@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ingest
 from ..sources import build_text
+from ..storage import scratch_path
 from . import testbuild
 
 _OBJ = "'build/' || CASE WHEN o_orderpriority = '5-LOW' THEN 'client_build/' ELSE '' END || 'o' || o_orderkey || CASE WHEN o_orderstatus = 'P' THEN '_test' ELSE '' END || '.o'"
@@ -85,6 +86,12 @@ def parse_symbol_dump(spark, sf_dir):
     return testbuild.symbols(spark, sf_dir).groupBy("object_file", "symbol", "kind").agg(F.count("*").alias("n"))
 
 
+@_query("SELECT name AS object_file, 'sym_' || l_partkey AS symbol, CASE WHEN l_quantity < 49 THEN 'used' ELSE 'defined' END AS kind, count(*) AS n FROM lineitem JOIN obj ON l_orderkey = k GROUP BY ALL")
+def parse_symbol_dump_short(spark, sf_dir):
+    """The short form: bare names, padded, with their kind beside them."""
+    return build_text.parse_symbol_dump(testbuild.short_dump_lines(spark, sf_dir), "short").groupBy("object_file", "symbol", "kind").agg(F.count("*").alias("n"))
+
+
 @_query("SELECT _id, symdeps, symdefs FROM one JOIN listed USING (_id) WHERE type = 'object'")
 def attach_symbols(spark, sf_dir):
     found = ingest.attach_symbols(testbuild.records(spark, sf_dir), testbuild.symbols(spark, sf_dir))
@@ -96,6 +103,25 @@ def extract_dep_lines(spark, sf_dir):
     return build_text.extract_dep_lines(testbuild.log_lines(spark, sf_dir))
 
 
+@_query("""SELECT c % 7 AS shard, row_number() OVER (PARTITION BY c % 7 ORDER BY line_no) - 1 AS line_no, value FROM (
+  SELECT line_no // 4 AS c, line_no, '{"_id": "' || _id || '", "libdeps": ["' || replace(libdeps, ',', '", "') || '"]} after' AS value FROM decl UNION ALL SELECT c_custkey, c_custkey * 4 + 1, 'cc {' || c_custkey || '}' FROM customer WHERE c_custkey > 0)""")
+def read_lines(spark, sf_dir):
+    """Logs as text files, a file a shard, read back with the numbers of their lines."""
+    log = testbuild.log_lines(spark, sf_dir).withColumn("shard", F.floor(F.col("line_no") / 4) % 7)
+    path = scratch_path(spark, "logs")
+    log.repartition("shard").sortWithinPartitions("shard", "line_no").select("shard", "value").write.partitionBy("shard").text(path)
+    return build_text.read_lines(spark, path).select(F.regexp_extract("file", "shard=([0-9]+)", 1).cast("long").alias("shard"), "line_no", "value")
+
+
+@_query("""SELECT line_no, _id, libdeps, bad FROM (
+  SELECT line_no, _id, libdeps, false AS bad FROM decl UNION ALL SELECT c_custkey * 4 + 3, NULL, NULL, true FROM customer WHERE c_custkey > 0 AND c_custkey % 3 = 0
+  UNION ALL SELECT c_custkey * 4 + 3, 'lib' || c_custkey || '.a', NULL, true FROM customer WHERE c_custkey > 0 AND c_custkey % 3 = 1)""")
+def parse_dep_lines_quarantine(spark, sf_dir):
+    """Bad lines among the good: no JSON inside the braces, and JSON without a list."""
+    log = testbuild.log_lines(spark, sf_dir).unionByName(testbuild.bad_lines(spark, sf_dir))
+    return build_text.parse_dep_lines(build_text.extract_dep_lines(log), "quarantine").select("line_no", "_id", F.array_join("libdeps", ",").alias("libdeps"), "bad")
+
+
 @_query("SELECT line_no, _id, libdeps FROM decl")
 def parse_dep_lines(spark, sf_dir):
     return testbuild.declared(spark, sf_dir).withColumn("libdeps", F.array_join("libdeps", ","))

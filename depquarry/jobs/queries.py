@@ -251,6 +251,25 @@ def leak_kind(spark, sf_dir, g):
     return symbols.leak_kind(g, symbols.direct_leaks(g, _archives(g))).select(F.col("query_id").alias("archive"), "symbol", "kind")
 
 
+_EXCLUDED = "'sym_' || p_partkey FROM part WHERE p_partkey % 3 = 0"
+
+
+def _hidden(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_partkey % 3 = 0").select(F.concat(F.lit("sym_"), F.col("p_partkey").cast("string")).alias("symbol"))
+
+
+@_query(f"SELECT archive, object, symbol, c.item || '>' || c.dep AS source_path FROM leaked JOIN symdefs d ON symbol = d.dep JOIN comps c ON c.dep = d.item WHERE symbol NOT IN (SELECT {_EXCLUDED})")
+def leaks_exclude(spark, sf_dir, g):
+    found = symbols.leaks(g, _archives(g), 2, exclude=_hidden(spark, sf_dir))
+    return found.select(F.col("query_id").alias("archive"), "object", "symbol", F.array_join("path", ">").alias("source_path"))
+
+
+@_query(f"""SELECT DISTINCT archive, object, symbol, u.item AS user FROM own JOIN symdeps u ON u.dep = symbol WHERE NOT contains(u.item, '_test.o')
+AND NOT EXISTS (SELECT 1 FROM own p WHERE p.archive = own.archive AND p.object = u.item) AND symbol NOT IN (SELECT {_EXCLUDED})""")
+def interface_exclude(spark, sf_dir, g):
+    return symbols.interface(g, _archives(g), _hidden(spark, sf_dir)).select("archive", "object", "symbol", F.explode("used_by").alias("user"))
+
+
 @_query("SELECT src AS archive, dst AS needed FROM ledges")
 def libs_needed_good(spark, sf_dir, g):
     return libs.libs_needed_good(g, _archives(g)).select(F.col("query_id").alias("archive"), F.col("archive").alias("needed"))
@@ -305,6 +324,11 @@ def render_d3(spark, sf_dir, g):
     return libs.render_d3(libs.all_extra_libdeps(g))[1]
 
 
+@_query(f"SELECT DISTINCT archive AS id FROM ({_EXTRA})")
+def render_d3_nodes(spark, sf_dir, g):
+    return libs.render_d3(libs.all_extra_libdeps(g))[0]
+
+
 @_query(f"SELECT archive AS source, extra AS target FROM ({_EXTRA}) WHERE ends_with(archive, '7.a')")
 def results_narrow(spark, sf_dir, g):
     wanted = spark.createDataFrame([("7.a",), ("none.a",)], "name string")
@@ -336,12 +360,26 @@ def exec_digest(spark, sf_dir, g):
     return traversals.exec_digest(_executables(spark, sf_dir, g), testgraph.programs(spark, sf_dir)).select(F.col("name").alias("file"), "bucket")
 
 
+@_query(_EXECS + "SELECT f AS file, node AS executable FROM up WHERE NOT contains(node, '.')")
+def undotted_executables(spark, sf_dir, g):
+    every = g.names("file").select(F.lit(0).alias("query_id"), "name")
+    return traversals.executables(g, every, traversals.undotted_executables(g)).select(F.col("name").alias("file"), "executable")
+
+
 @_query("""SELECT DISTINCT a AS start, coalesce(h2.dep || '>', '') || coalesce(h1.dep || '>', '') || a AS path FROM arch LEFT JOIN holders h1 ON h1.item = a LEFT JOIN holders h2 ON h2.item = h1.dep""")
 def file_family_paths(spark, sf_dir, g):
     roots = _archives(g).select("query_id", "name")
     return traversals.file_family_paths(g, roots, 3).select(F.col("query_id").alias("start"), F.array_join("path", ">").alias("path"))
 
 
+@_query("""SELECT DISTINCT a AS start, coalesce(h1.dep || '>', '') || coalesce(h2.dep || '>', '') || a AS path FROM arch LEFT JOIN holders h1 ON h1.item = a LEFT JOIN holders h2 ON h2.item = h1.dep
+WHERE h2.dep IS NOT NULL OR h1.dep IS NULL OR NOT EXISTS (SELECT 1 FROM holders o JOIN holders t ON t.item = o.dep WHERE o.item = a AND t.dep = h1.dep)""")
+def file_family_paths_reference(spark, sf_dir, g):
+    """Every level turned round; a container without containers is absorbed where it begins another chain."""
+    found = traversals.file_family_paths(g, _archives(g).select("query_id", "name"), 3, "reference")
+    return found.select(F.col("query_id").alias("start"), F.array_join("path", ">").alias("path"))
+
+
 @_query("SELECT d.dep AS start, h.dep || '>' || d.item AS path FROM symdefs d JOIN holders h ON h.item = d.item")
 def symbol_family_paths(spark, sf_dir, g):
     roots = g.names("symbol").select(F.col("name").alias("query_id"), F.col("name").alias("symbol"))
@@ -474,6 +512,18 @@ def write_graph(spark, sf_dir, g):
     return read_graph(spark, path).edges
 
 
+@_query("SELECT relationship, item, dep FROM edges UNION ALL SELECT 'symbols', name, '' FROM syms UNION ALL SELECT 'files', name, '' FROM files")
+def read_dumped_graph(spark, sf_dir, g):
+    """Round trip through a dump: a JSON map a relationship, an array a node list, found by their header."""
+    from ..sources.graph_io import dump_graph, load_dump
+    from ..storage import scratch_path
+
+    path = scratch_path(spark, "graph-dump")
+    dump_graph(Graph(written(g.edges, "edges"), written(g.nodes, "nodes")), path)
+    back = load_dump(spark, path)
+    return back.edges.unionByName(back.nodes.select(F.concat("kind", F.lit("s")).alias("relationship"), F.col("name").alias("item"), F.lit("").alias("dep")))
+
+
 @_query("SELECT relationship, item, dep FROM edges")
 def read_graph(spark, sf_dir, g):
     """Round trip through the JSON interchange form."""
@@ -485,13 +535,9 @@ def read_graph(spark, sf_dir, g):
     return import_graph_json(spark, path).edges
 
 
-_EXCLUDED = "'sym_' || p_partkey FROM part WHERE p_partkey % 3 = 0"
-
-
 @_query(f"SELECT DISTINCT archive, h.dep AS needed FROM need JOIN definers USING (symbol) JOIN holders h ON h.item = only_one WHERE n = 1 AND symbol NOT IN (SELECT {_EXCLUDED})")
 def libs_needed_exclude(spark, sf_dir, g):
-    hidden = spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_partkey % 3 = 0").select(F.concat(F.lit("sym_"), F.col("p_partkey").cast("string")).alias("symbol"))
-    return libs.libs_needed_good(g, _archives(g), hidden).select(F.col("query_id").alias("archive"), F.col("archive").alias("needed"))
+    return libs.libs_needed_good(g, _archives(g), _hidden(spark, sf_dir)).select(F.col("query_id").alias("archive"), F.col("archive").alias("needed"))
 
 
 _EXTRA_INFO = '{"version_info": {"branch": "main", "hash": "abc", "tag": "(no tag)"}, "build_info": {"flags": ["-O2", "-g"], "platform": "linux"}}'

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import ingest
-from ..sources import build_text
+from ..sources import build_text, build_tree
 from . import testgraph
 
 
@@ -50,6 +50,22 @@ def dump_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return symbols.unionByName(objects.select("object_file", F.explode(F.array(F.lit("0000000000000000 t .Lloop"), F.lit(""))).alias("line")))
 
 
+def short_dump_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(object_file, line, kind): bare symbol names with blanks around them, and an empty and a local line per object."""
+    objects = testgraph.objects(spark, sf_dir).select("o_orderkey", F.col("name").alias("object_file"))
+    items = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity").join(objects, F.col("l_orderkey") == F.col("o_orderkey"))
+    kind = F.when(F.col("l_quantity") < 49, "used").otherwise("defined").alias("kind")
+    named = items.select("object_file", F.concat(F.lit("  sym_"), F.col("l_partkey").cast("string"), F.lit(" ")).alias("line"), kind)
+    return named.unionByName(objects.select("object_file", F.explode(F.array(F.lit(" .Lloop"), F.lit(""))).alias("line"), F.lit("defined").alias("kind")))
+
+
+def bad_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(line_no, value) of lines that begin like declarations: every third customer's is no JSON, every other third's lacks the list."""
+    c = F.col("c_custkey")
+    text = F.when(c % 3 == 0, "{no json} after").when(c % 3 == 1, F.concat(F.lit('{"_id": "lib'), c.cast("string"), F.lit('.a"} after')))
+    return _table(spark, sf_dir, "customer").filter("c_custkey > 0").select((c * 4 + 3).alias("line_no"), text.alias("value")).filter("value is not null")
+
+
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(line_no, value): declared dependencies as JSON with text after them, other lines between; every fifth customer is declared twice."""
     c = F.col("c_custkey")
@@ -64,7 +80,7 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_text.parse_build_tree(tree_lines(spark, sf_dir))
+    return build_tree.parse_build_tree(tree_lines(spark, sf_dir))
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from ..functions.names import detect_type
 from ..schema import Graph
+from ..storage import written
 
 
 def classify_child(children: DataFrame) -> DataFrame:
@@ -24,11 +25,15 @@ def assemble_build_objects(nodes: DataFrame) -> DataFrame:
     names of its children by field, in order."""
     under_object = F.col("parent_type") == "object"
     field = F.when(under_object & (F.col("type") == "source"), "source").when(under_object, "headers").when(F.col("type") == "object", "objects").otherwise("deps")
-    child = nodes.filter("parent_pos is not null").select("tree_id", F.col("parent_pos").alias("pos"), F.struct(F.col("pos").alias("at"), "name").alias("child"), field.alias("field"))
-    names = lambda f: F.transform(F.array_sort(F.collect_list(F.when(F.col("field") == f, F.col("child")))), lambda x: x["name"])
-    rolled = child.groupBy("tree_id", "pos").agg(*[names(f).alias(f) for f in ("source", "headers", "objects", "deps")], F.count("*").alias("n_children"))
-    some = lambda f: F.when(F.size(f) > 0, F.col(f)).alias(f)
-    return nodes.join(rolled, ["tree_id", "pos"], "left").select("tree_id", "pos", "end_pos", F.col("name").alias("_id"), "type", F.get("source", F.lit(0)).alias("source"), some("headers"), some("objects"), some("deps"), F.coalesce("n_children", F.lit(0).cast("long")).alias("n_children"))
+    node, child = F.struct("end_pos", F.col("name").alias("_id"), "type"), F.struct(F.col("pos").alias("at"), "name", field.alias("field"))
+    # a node comes once for itself and once for its parent, so that one grouping makes the records
+    row = lambda key, node, child: F.struct(F.col(key).alias("pos"), node.alias("node"), child.alias("child"))
+    none = lambda c: F.when(F.lit(False), c)
+    rows = nodes.select("tree_id", F.inline(F.array(row("pos", node, none(child)), row("parent_pos", none(node), child)))).filter("pos is not null")
+    rolled = rows.groupBy("tree_id", "pos").agg(F.max("node").alias("node"), F.array_sort(F.collect_list("child")).alias("children"))
+    names = lambda f: F.transform(F.filter("children", lambda x: x["field"] == f), lambda x: x["name"])
+    some = lambda f: F.when(F.size(names(f)) > 0, names(f)).alias(f)
+    return rolled.select("tree_id", "pos", "node.end_pos", "node._id", "node.type", F.get(names("source"), F.lit(0)).alias("source"), some("headers"), some("objects"), some("deps"), F.size("children").cast("long").alias("n_children"))
 
 
 def dedupe_build_objects(records: DataFrame) -> DataFrame:
@@ -75,16 +80,42 @@ def edges_of(symdeps: DataFrame, symdefs: DataFrame, headers: DataFrame, source:
     return reduce(DataFrame.unionAll, parts)
 
 
+#: What a field of a build record becomes: its relationship and the inverse. Dependencies and components share theirs.
+FIELDS = {
+    "symdeps": ("file_to_symbol_dependencies", "symbol_to_file_dependencies"),
+    "symdefs": ("file_to_symbol_definitions", "symbol_to_file_sources"),
+    "headers": ("file_to_header_includes", "header_to_files_including"),
+    "source": ("file_to_source", "source_to_file"),
+    "deps": ("target_to_dependencies", "dependency_to_targets"),
+    "objects": ("archives_to_components", "dependency_to_targets"),
+}
+
+
 def generate_edges(records: DataFrame, client_build: bool = False) -> DataFrame:
     """Build records of one flavor -> (relationship, item, dep). Object records feed symbols, headers and sources, all
-    others dependencies and components."""
+    others dependencies and components.
+
+    One pass: a record gives its pairs by inverse relationship, equal ones become one row that knows its fields, and only
+    then both directions are made, so half of the edges are shuffled, once.
+    """
     records = filter_build_flavor(records, client_build)
     have = dict(records.dtypes)
-    col = lambda c, t: F.col(c) if c in have else F.lit(None).cast(t)
-    objects, others = records.filter("type = 'object'"), records.filter("type <> 'object'")
-    out = lambda df, c: df.select(F.col("_id").alias("item"), F.explode(col(c, "array<string>")).alias("dep"))
-    source = objects.select(F.col("_id").alias("item"), col("source", "string").alias("dep"))
-    return edges_of(out(objects, "symdeps"), out(objects, "symdefs"), out(objects, "headers"), source, out(others, "deps"), out(others, "objects"))
+
+    def pairs(field: str):
+        named = lambda x: F.struct(F.lit(FIELDS[field][1]).alias("back"), F.lit(field).alias("field"), x.alias("dep"))
+        if field not in have:
+            return F.array().cast("array<struct<back:string,field:string,dep:string>>")
+        items = F.array(field) if field == "source" else F.coalesce(field, F.array().cast("array<string>"))
+        empty = lambda x: x.isNull() | (x == "") if field in ("symdeps", "symdefs", "headers") else x.isNull()
+        return F.transform(F.filter(items, lambda x: ~empty(x)), named)
+
+    of_object, of_other = (F.concat(*map(pairs, fields)) for fields in (("symdeps", "symdefs", "headers", "source"), ("deps", "objects")))
+    rows = records.filter("_id is not null and type is not null").select(F.col("_id").alias("item"), F.inline(F.when(F.col("type") == "object", of_object).otherwise(of_other)))
+    once = rows.groupBy("back", "item", "dep").agg(*[F.max((F.col("field") == f)).alias(f) for f in FIELDS])
+    edge = lambda relationship, item, dep: F.struct(relationship.alias("relationship"), F.col(item).alias("item"), F.col(dep).alias("dep"))
+    there = [F.when(F.col(f), edge(F.lit(name), "item", "dep")) for f, (name, _) in FIELDS.items()]
+    both = F.filter(F.array(*there, edge(F.col("back"), "dep", "item")), lambda x: x.isNotNull())
+    return once.select(F.inline(both))
 
 
 def collect_nodes(edges: DataFrame, ids: DataFrame | None = None) -> DataFrame:
@@ -99,5 +130,6 @@ def collect_nodes(edges: DataFrame, ids: DataFrame | None = None) -> DataFrame:
 
 
 def build_graph(records: DataFrame, client_build: bool = False, meta: DataFrame | None = None) -> Graph:
-    edges = generate_edges(records, client_build)
+    records = written(records, "records")
+    edges = written(generate_edges(records, client_build), "edges")  # each relationship is read by itself
     return Graph(edges, collect_nodes(edges, filter_build_flavor(records, client_build).select("_id")), meta)

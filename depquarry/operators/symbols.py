@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.names import is_client, is_object
 from ..schema import Graph
 from ..storage import written
+from .reach import reaching
 from .traversals import closure, symbol_family_paths
 
 FEW_HOLDERS = 64
@@ -44,25 +45,34 @@ def symbol_providers(graph: Graph) -> DataFrame:
     return direct.union(defined.join(parts, "object").select("symbol", "node")).distinct()
 
 
+def _turned(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("dep").alias("item"), F.col("item").alias("dep"))
+
+
 def direct_leaks(graph: Graph, names: DataFrame, ignore: DataFrame | None = None, exclude: DataFrame | None = None, few_holders: int = FEW_HOLDERS) -> DataFrame:
     """(query_id, input_ord, name) -> (query_id, symbol, object, archive): symbols used but defined nowhere in the
     closure of the names and of ``ignore`` (query_id, name), though defined by somebody.
 
-    A symbol of ``FEW_HOLDERS`` or fewer is looked for among its holders: each is tested for membership in the query's
-    closure. The few symbols with more are looked for from the closure's side, so no symbol pairs all who need it with
-    all who hold it. ``exclude`` (symbol) hides rows of the result.
+    No closure is laid out. A symbol of ``FEW_HOLDERS`` or fewer asks for its holders: is one of them reached by the
+    query? The few symbols with more ask the other way: from all their holders at once, against the edges, is one of the
+    query's names met? So no symbol pairs all who need it with all who hold it. ``exclude`` (symbol) hides rows of the
+    result.
     """
     needed = written(symbol_info(graph, names, 1, "dependency"), "needed")
     roots = names.select("query_id", "name")
-    reach = closure(graph, roots if ignore is None else roots.union(ignore.select("query_id", "name")))
+    roots = written((roots if ignore is None else roots.union(ignore.select("query_id", "name"))).distinct(), "roots")
     wanted = needed.select("query_id", "symbol").distinct()
     providers = written(symbol_providers(graph), "providers")
     held_by_many = written(providers.groupBy("symbol").agg(F.count("*").alias("n")).filter(F.col("n") > few_holders).select("symbol"), "held-by-many")
-    few = wanted.join(providers.join(held_by_many, "symbol", "left_anti"), "symbol").join(reach.select("query_id", "node"), ["query_id", "node"], "left_semi").select("query_id", "symbol")
-    many = reach.select("query_id", "node").join(providers.join(held_by_many, "symbol", "left_semi"), "node").select("query_id", "symbol").distinct()
-    found = few.union(many).distinct()
+    below = graph.rel("target_to_dependencies")
+    few = wanted.join(providers.join(held_by_many, "symbol", "left_anti"), "symbol").select("query_id", "node", "symbol")
+    found = reaching(below, roots.withColumnRenamed("name", "node"), few).select("query_id", "symbol")
+    if not held_by_many.isEmpty():
+        hot = wanted.join(held_by_many, "symbol", "left_semi").join(roots.withColumnRenamed("name", "node"), "query_id").select(F.col("symbol").alias("query_id"), "node", F.col("query_id").alias("asking"))
+        held = providers.join(held_by_many, "symbol", "left_semi").select(F.col("symbol").alias("query_id"), "node")
+        found = found.union(reaching(_turned(below), held, hot).select(F.col("asking"), F.col("query_id")))
     known = graph.rel("symbol_to_file_sources").select(F.col("item").alias("symbol")).distinct()
-    out = needed.join(found, ["query_id", "symbol"], "left_anti").join(known, "symbol", "left_semi")
+    out = needed.join(found.distinct(), ["query_id", "symbol"], "left_anti").join(known, "symbol", "left_semi")
     if exclude is not None:
         out = out.join(exclude.select("symbol").distinct(), "symbol", "left_anti")
     return out.select("query_id", "symbol", "object", "archive")
@@ -96,16 +106,27 @@ def definer_count(graph: Graph) -> DataFrame:
     return graph.names("symbol").select(F.col("name").alias("symbol")).join(definers, "symbol", "left").select("symbol", n.alias("n"), kind.alias("class"))
 
 
-def leak_kind(graph: Graph, leaked: DataFrame) -> DataFrame:
+def leak_kind(graph: Graph, leaked: DataFrame, few_holders: int = FEW_HOLDERS) -> DataFrame:
     """(query_id, symbol) of ``direct_leaks``, a query being an archive's name -> (query_id, symbol, kind): multiple if
-    several objects define it, circular if a providing archive's closure reaches the query's archive, else simple."""
-    leaked = leaked.select("query_id", "symbol").distinct()
+    several objects define it, circular if a providing archive's closure reaches the query's archive, else simple.
+
+    A symbol of few providers asks each of them for the leaking archives; one of many asks from all of its providers at
+    once, so that no row pairs a leaking archive with a hot symbol's provider.
+    """
+    leaked = written(leaked.select("query_id", "symbol").distinct(), "leaked")
     counts = definer_count(graph).filter("n > 1").select("symbol", F.lit(True).alias("many"))
     defined = graph.rel("symbol_to_file_sources").select(F.col("item").alias("symbol"), F.col("dep").alias("object"))
     holders = graph.rel("dependency_to_targets").select(F.col("item").alias("object"), F.col("dep").alias("provider"))
-    providers = defined.join(holders, "object").select("symbol", "provider").distinct()
-    pairs = leaked.join(providers, "symbol")
-    up = closure(graph, providers.join(leaked.select("symbol").distinct(), "symbol", "left_semi").select(F.col("provider").alias("query_id"), F.col("provider").alias("name")).distinct())
-    reach = up.select(F.col("query_id").alias("provider"), F.col("node").alias("query_id"))
-    around = pairs.join(reach, ["provider", "query_id"], "left_semi").select("query_id", "symbol").distinct().withColumn("around", F.lit(True))
+    providers = defined.join(holders, "object").select("symbol", "provider").distinct().join(leaked.select("symbol").distinct(), "symbol", "left_semi")
+    providers = written(providers, "providers")
+    held_by_many = written(providers.groupBy("symbol").agg(F.count("*").alias("n")).filter(F.col("n") > few_holders).select("symbol"), "held-by-many")
+    below = graph.rel("target_to_dependencies")
+    asked = leaked.join(providers.join(held_by_many, "symbol", "left_anti"), "symbol").select(F.col("provider").alias("query_id"), F.col("query_id").alias("node"), "symbol")
+    each = asked.select("query_id", F.col("query_id").alias("node")).distinct()
+    around = reaching(below, each, asked).select(F.col("node").alias("query_id"), "symbol")
+    if not held_by_many.isEmpty():
+        held = providers.join(held_by_many, "symbol", "left_semi").select(F.col("symbol").alias("query_id"), F.col("provider").alias("node"))
+        hot = leaked.join(held_by_many, "symbol", "left_semi").select(F.col("symbol").alias("query_id"), F.col("query_id").alias("node"))
+        around = around.union(reaching(below, held, hot).select(F.col("node"), F.col("query_id")))
+    around = around.distinct().withColumn("around", F.lit(True))
     return leaked.join(counts, "symbol", "left").join(around, ["query_id", "symbol"], "left").select("query_id", "symbol", F.when(F.col("many"), "multiple").when(F.col("around"), "circular").otherwise("simple").alias("kind"))

@@ -1,51 +1,25 @@
-"""Iterated joins. Every round is written to the shared folder, so lineage stays short and a lost executor repeats one
-round; a round limit fails loudly instead of returning part of an answer."""
+"""Traversals of the graph. Rounds of joins are written to the shared folder, so lineage stays short and a lost executor
+repeats one round; a round limit fails loudly instead of returning part of an answer."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..schema import Graph
 from ..storage import written
-
-MAX_ROUNDS = 1000
-
-
-def walk(pairs: DataFrame, starts: DataFrame, levels: int | None = None, with_path: bool = False) -> DataFrame:
-    """Breadth first over ``pairs`` (item, dep) from ``starts`` (query_id, node): (query_id, node, level[, path]).
-
-    A start has level 1; each (query, node) comes once, at its smallest level and, ``with_path``, with the smallest
-    of its shortest paths. ``levels``: how deep to go; None or below 1 is all the way.
-    """
-    bound = levels if levels and levels > 0 else None
-    pairs = written(pairs.select(F.col("item").alias("node"), F.col("dep").alias("next")).distinct(), "pairs")  # every round joins them; small ones are broadcast by size
-    seen = starts.select("query_id", "node").distinct().withColumn("level", F.lit(1).cast("long"))
-    if with_path:
-        seen = seen.withColumn("path", F.array("node"))
-    rounds = [written(seen, "walk")]
-    while bound is None or len(rounds) < bound:
-        if len(rounds) > MAX_ROUNDS:
-            raise RuntimeError(f"not done after {MAX_ROUNDS} rounds")
-        found = rounds[-1].join(pairs, "node").select("query_id", F.col("next").alias("node"), *(["path"] if with_path else []))
-        if with_path:
-            found = found.select("query_id", "node", F.concat("path", F.array("node")).alias("path")).groupBy("query_id", "node").agg(F.min("path").alias("path"))
-        else:
-            found = found.distinct()
-        before = reduce(DataFrame.unionByName, [r.select("query_id", "node") for r in rounds])
-        new = found.join(before, ["query_id", "node"], "left_anti").withColumn("level", F.lit(len(rounds) + 1).cast("long"))
-        new = written(new.select(rounds[0].columns), "walk")
-        if new.isEmpty():
-            break
-        rounds.append(new)
-    return reduce(DataFrame.unionByName, rounds)
-
+from .reach import MAX_ROUNDS, reach, round_trips, walk
 
 def closure(graph: Graph, names: DataFrame, levels: int | None = None) -> DataFrame:
     """What (query_id, name) reaches over declared dependencies, with level; itself included, safe on cycles."""
-    return walk(graph.rel("target_to_dependencies"), names.select("query_id", F.col("name").alias("node")), levels)
+    return reach(graph.rel("target_to_dependencies"), names.select("query_id", F.col("name").alias("node")), levels)
 
 
 def parent_pairs(graph: Graph) -> DataFrame:
@@ -86,8 +60,8 @@ def executables(graph: Graph, names: DataFrame, known: DataFrame | None = None)
     """
     known = default_executables(graph) if known is None else known
     down = parent_pairs(graph).select(F.col("dep").alias("item"), F.col("item").alias("dep"))
-    reach = walk(down, known.select(F.col("name").alias("query_id"), F.col("name").alias("node")))
-    return names.join(reach.select(F.col("node").alias("name"), F.col("query_id").alias("executable")), "name").select("query_id", "name", "executable").distinct()
+    below = reach(down, known.select(F.col("name").alias("query_id"), F.col("name").alias("node")))
+    return names.join(below.select(F.col("node").alias("name"), F.col("query_id").alias("executable")), "name").select("query_id", "name", "executable").distinct()
 
 
 def exec_digest(found: DataFrame, buckets: DataFrame) -> DataFrame:
@@ -96,11 +70,65 @@ def exec_digest(found: DataFrame, buckets: DataFrame) -> DataFrame:
     return found.join(known, "executable").select("query_id", "name", "bucket").distinct()
 
 
+def with_neighbours(paths: DataFrame, *keys: str) -> DataFrame:
+    """Sorted paths with ``shared``, how many names a path begins with like the one before it (of the same keys), and
+    ``absorbed``, whether the next one begins with all of it.
+
+    Rows are sorted over range partitions and compared with their neighbour only; what stands at the edges of partitions,
+    a row or two each, is compared afterwards. So no path meets its prefixes, and one tree is spread over many tasks.
+    """
+    n = int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = [*keys, "path"]
+    rows = paths.select(*columns)
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(c, t) for c, t in (("shared", T.IntegerType()), ("absorbed", T.BooleanType()), ("part", T.IntegerType()), ("place", T.IntegerType())))])
+
+    def common(a: tuple, b: tuple) -> int:
+        if a[:-1] != b[:-1]:
+            return 0
+        return next((i for i, (x, y) in enumerate(zip(a[-1], b[-1])) if x != y), min(len(a[-1]), len(b[-1])))
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, before, held = TaskContext.get().partitionId(), None, None
+        for batch in batches:
+            rows_ = list(zip(*[batch.column(c).to_pylist() for c in columns]))
+            out = []
+            for row in rows_:
+                row = (*row[:-1], tuple(row[-1]))
+                shared = common(before, row) if before else None
+                if held:
+                    out.append((*held, before[:-1] == row[:-1] and shared == len(before[-1])))
+                held, before = (row, shared, 0 if shared is None else 1), row
+            if out:
+                yield made(out, part)
+        if held:
+            yield made([(held[0], held[1], held[2] + 2, None)], part)
+
+    def made(out: list, part: int) -> pa.RecordBatch:
+        row, shared, place, absorbed = zip(*out)
+        arrays = [pa.array(list(x), to_arrow_type(f.dataType)) for x, f in zip(zip(*row), rows_fields)]
+        return pa.RecordBatch.from_arrays([*arrays, pa.array(shared, pa.int32()), pa.array(absorbed, pa.bool_()), pa.array([part] * len(out), pa.int32()), pa.array(place, pa.int32())], names=schema.names)
+
+    rows_fields = rows.schema.fields
+    done = written(rows.repartitionByRange(n, *columns).sortWithinPartitions(*columns).mapInArrow(compared, schema), "neighbours")
+    # place: 0 first of its partition, 1 amid, 2 first and last, 3 last
+    edges = sorted((r.part, r.place != 0, (*r[: len(keys)], tuple(r.path))) for r in done.filter("place <> 1").select(*columns, "part", "place").collect())
+    firsts = {p: row for p, _, row in reversed(edges)}
+    lasts = {p: row for p, _, row in edges}
+    fixes, parts = [], sorted(firsts)
+    for p, q in zip([None, *parts], [*parts, None]):
+        if p is None or q is None:
+            continue
+        shared = common(lasts[p], firsts[q])
+        fixes.append((q, shared, None))
+        fixes.append((p, None, lasts[p][:-1] == firsts[q][:-1] and shared == len(lasts[p][-1])))
+    fix = paths.sparkSession.createDataFrame(fixes, "part int, s int, a boolean").groupBy("part").agg(F.max("s").alias("s"), F.max("a").alias("a"))
+    fixed = done.join(F.broadcast(fix), "part", "left")  # two rows a partition
+    return fixed.select(*columns, F.coalesce("shared", "s", F.lit(0)).alias("shared"), F.coalesce("absorbed", "a", F.lit(False)).alias("absorbed"))
+
+
 def absorb(paths: DataFrame, *keys: str) -> DataFrame:
     """Drop repeats and paths that are a strict prefix of another of the same key, as merging them into a trie would."""
-    paths = paths.select(*keys, "path").distinct()
-    prefixes = paths.filter(F.size("path") > 1).select(*keys, F.explode(F.expr("transform(sequence(1, size(path) - 1), n -> slice(path, 1, n))")).alias("path")).distinct()
-    return paths.join(prefixes, [*keys, "path"], "left_anti")
+    return with_neighbours(paths, *keys).filter("not absorbed").select(*keys, "path")
 
 
 def tree_flip(paths: DataFrame, *keys: str) -> DataFrame:
@@ -108,8 +136,10 @@ def tree_flip(paths: DataFrame, *keys: str) -> DataFrame:
 
 
 def paths_to_tree(paths: DataFrame, *keys: str) -> DataFrame:
-    """The trie as its nodes: (…, depth, parent_path, name)."""
-    return absorb(paths, *keys).select(*keys, F.explode(F.expr("transform(sequence(1, size(path)), n -> struct(n as depth, slice(path, 1, n - 1) as parent_path, path[n - 1] as name))")).alias("n")).select(*keys, "n.*").distinct()
+    """The trie as its nodes: (…, depth, parent_path, name). A path gives the nodes that the path before it lacks."""
+    new = with_neighbours(paths, *keys).filter("shared < size(path)")
+    node = "transform(sequence(shared + 1, size(path)), n -> struct(n as depth, slice(path, 1, n - 1) as parent_path, path[n - 1] as name))"
+    return new.select(*keys, F.inline(F.expr(node)))
 
 
 def tree_paths(tree: DataFrame, *keys: str) -> DataFrame:
@@ -164,8 +194,8 @@ def libs_cycle(lib_edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(query_id, archive) -> (query_id, target, hops, path) for archives reachable from what the query's archives need."""
     pairs = lib_edges.select(F.col("src").alias("item"), F.col("dst").alias("dep"))
     starts = roots.join(pairs.withColumnRenamed("item", "archive"), "archive").select("query_id", F.col("dep").alias("node"))
-    reach = walk(pairs, starts, with_path=True)
-    return roots.distinct().join(reach.withColumnRenamed("node", "archive"), ["query_id", "archive"]).select("query_id", F.col("archive").alias("target"), F.col("level").alias("hops"), "path")
+    found = walk(pairs, starts, with_path=True)
+    return roots.distinct().join(found.withColumnRenamed("node", "archive"), ["query_id", "archive"]).select("query_id", F.col("archive").alias("target"), F.col("level").alias("hops"), "path")
 
 
 def lib_cycles_all(lib_edges: DataFrame) -> DataFrame:
@@ -197,8 +227,16 @@ def lib_cycles_all(lib_edges: DataFrame) -> DataFrame:
 
 
 def shortest_cycles(lib_edges: DataFrame) -> DataFrame:
-    """(archive, hops): the shortest way of every archive on a cycle back to itself, walked inside its component only."""
+    """(archive, hops): the shortest way of every archive on a cycle back to itself.
+
+    64 archives at a time, each until it meets itself. If there are too many edges for that, by walks inside components.
+    """
     edges = written(lib_edges.select("src", "dst").distinct(), "cycle-edges")
+    found = round_trips(edges.select(F.col("src").alias("item"), F.col("dst").alias("dep")))
+    return walked_cycles(edges) if found is None else found.select(F.col("node").alias("archive"), "hops")
+
+
+def walked_cycles(edges: DataFrame) -> DataFrame:
     on = written(lib_cycles_all(edges), "cycles")
     inside = edges.join(on.select(F.col("archive").alias("src"), F.col("cycle").alias("c1")), "src").join(on.select(F.col("archive").alias("dst"), F.col("cycle").alias("c2")), "dst").filter("c1 = c2").select("src", "dst")
     roots = on.select(F.col("archive").alias("query_id"), "archive")

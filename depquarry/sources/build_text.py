@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from ..functions.names import SUFFIXES
 from ..operators.ingest import assemble_build_objects, attach_symbols, dedupe_build_objects, override_libdeps
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, value): whole files, so that line numbers hold."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split("value", "\n"))).select("file", F.col("pos").cast("long").alias("line_no"), F.col("col").alias("value"))
+    """(file, line_no, value): lines numbered from 0 in their file, however many tasks read it. Two passes: the lines of
+    every split are counted, their running sum gives each split its first number (a row a split), then lines get theirs."""
+    rows = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), "value")
+    rows = rows.withColumn("_at", F.monotonically_increasing_id())
+    counts = rows.groupBy("file", "split").agg(F.min("_at").alias("_first"), F.count("*").alias("n"))
+    before = W.partitionBy("file").orderBy("split")
+    bases = counts.select("file", "split", (F.sum("n").over(before) - F.col("n") - F.col("_first")).alias("_base"))
+    return rows.join(bases, ["file", "split"]).select("file", (F.col("_at") + F.col("_base")).alias("line_no"), "value")
 
 
 def extract_dep_lines(lines: DataFrame) -> DataFrame:
@@ -37,73 +39,6 @@ def parse_dep_lines(found: DataFrame, mode: str = "fail") -> DataFrame:
     return out.select("line_no", checked.alias("_id"), "libdeps")
 
 
-_TREE = "tree_id string, pos long, depth int, name string, pruned boolean, type string, parent_pos long, parent_name string, parent_type string, child_ordinal int, end_pos long, inlineCode string"
-_node = re.compile(r"(.*?)\+-(.*)")
-
-
-def _kind(parent: str, ordinal: int, name: str) -> str:
-    """``classify_child`` for one node: a child's type hangs on its parent's, so the parse tells it on the way down."""
-    if parent == "object":
-        return "source" if ordinal == 1 else "header"
-    if parent == "archive":
-        return "object"
-    return next((kind for suffix, kind in SUFFIXES if name.endswith(suffix)), "system" if name.startswith("/") else "target")
-
-
-def tree_rows(tree_id: str, lines: list[tuple[int, str]]) -> list[list]:
-    """The nodes of one tree: a stack of open nodes, one a level."""
-    rows: list[list] = []
-    stack: list[list] = []
-    kids: dict[int, int] = {}
-    inline: list[str] | None = None
-    for pos, line in lines:
-        m = _node.match(line)
-        if not stack:
-            if line == "+-all":
-                rows.append([tree_id, pos, 0, "all", False, "target", None, None, None, None, pos, None])
-                stack.append(rows[-1])
-            continue
-        if inline is not None and not m:
-            inline.append(line)
-            continue
-        if inline is not None:
-            stack[-1][11], inline = "\n".join(inline), None
-        if not m:
-            break
-        if not m[2].strip(" "):
-            inline = []
-            continue
-        depth = len(m[1]) // 2
-        if depth < 1:
-            break
-        del stack[depth:]
-        parent = stack[-1]
-        pruned = m[2].startswith("[") and m[2].endswith("]")
-        name = m[2][1:-1] if pruned else m[2]
-        ordinal = kids[parent[1]] = kids.get(parent[1], 0) + 1
-        rows.append([tree_id, pos, depth, name, pruned, _kind(parent[5], ordinal, name), parent[1], parent[3], parent[5], ordinal, pos, None])
-        stack.append(rows[-1])
-        for open_ in stack:
-            open_[10] = pos
-    if inline is not None and stack:
-        stack[-1][11] = "\n".join(inline)
-    return rows
-
-
-def parse_build_tree(lines: DataFrame) -> DataFrame:
-    """(tree_id, pos, line) -> one row per node with its parent, type, place among its siblings and last line.
-
-    Order counts inside a tree, so a tree (one file of one build) is one task; trees are parsed side by side.
-    """
-
-    def parse(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        rows = tree_rows(pdf.tree_id.iloc[0], list(zip(pdf.pos.tolist(), pdf.line.tolist())))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in _TREE.split(", ")]).astype({"parent_pos": "Int64", "child_ordinal": "Int64"})
-
-    return lines.groupBy("tree_id").applyInPandas(parse, _TREE)
-
-
 def parse_symbol_dump(lines: DataFrame, platform: str = "linux") -> DataFrame:
     """(object_file, line[, kind]) of an already demangled dump -> (object_file, symbol, kind used/defined).
 

@@ -4,7 +4,7 @@ from graphs import rows
 from depquarry.functions.names import detect_type
 from depquarry.operators import ingest
 from depquarry.schema import BUILD_OBJECTS
-from depquarry.sources import build_text
+from depquarry.sources import build_text, build_tree
 
 TREE = """noise
 +-all
@@ -31,7 +31,7 @@ def lines(spark, text, tree="t"):
 
 
 def test_tree(spark):
-    tree = build_text.parse_build_tree(lines(spark, TREE))
+    tree = build_tree.parse_build_tree(lines(spark, TREE))
     got = {(r.name, r.pruned): r for r in tree.collect()}
     assert len(got) == 11 and tree.count() == 12 and ("after", False) not in got
     assert got["main.cpp", False].type == "source" and got["a.h", False].type == "header" and got["gen", False].type == "object"
@@ -44,7 +44,7 @@ def test_tree(spark):
 
 
 def test_records_to_graph(spark):
-    tree = build_text.parse_build_tree(lines(spark, TREE))
+    tree = build_tree.parse_build_tree(lines(spark, TREE))
     dump = spark.createDataFrame([("main.o", " " * 17 + "U x::f(int, long)"), ("main.o", "0000000000000010 T main"), ("main.o", "0000000000000010 T .Llocal"), ("main.o", ""), ("x.o", "0000000000000000 T x::f(int, long)"), ("gen", "0000000000000000 T g")], "object_file string, line string")
     symbols = build_text.parse_symbol_dump(dump)
     assert rows(symbols, "object_file", "symbol", "kind") == [("gen", "g", "defined"), ("main.o", "main", "defined"), ("main.o", "x::f(int, long)", "used"), ("x.o", "x::f(int, long)", "defined")]

@@ -3,12 +3,13 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-CHECKED = ["generate_edges", "collect_nodes", "expand_file_names", "lookup", "closure", "direct_leaks", "interface", "libs_needed_good", "libs_needed_bad", "libs_cycle", "extra_libdeps_precise", "file_graph", "exec_digest", "file_family_paths", "flatten_modules", "diff_modules", "module_interface", "module_pages", "write_modules", "read_modules", "attach_extra_info", "parse_build_tree", "generate_edges_of_records"]
+CHECKED = ["generate_edges", "collect_nodes", "expand_file_names", "lookup", "closure", "direct_leaks", "interface", "libs_needed_good", "libs_needed_bad", "libs_cycle", "extra_libdeps_precise", "file_graph", "exec_digest", "file_family_paths", "flatten_modules", "diff_modules", "module_interface", "module_pages", "write_modules", "read_modules", "attach_extra_info", "parse_build_tree", "generate_edges_of_records", "build_graph_nodes", "assemble_build_objects", "expand_symbol_names", "leak_kind", "paths_to_tree", "read_dumped_graph", "read_lines", "parse_symbol_dump_short", "parse_dep_lines_quarantine", "leaks_exclude", "interface_exclude", "undotted_executables", "file_family_paths_reference", "render_d3_nodes"]
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +22,7 @@ def con():
 
 def table(df):
     cols = sorted(df.columns)
-    return sorted(tuple(None if v != v else v for v in r) for r in df[cols].itertuples(index=False)), cols
+    return [tuple(None if v is None or v is pd.NA or v != v else v for v in r) for r in df[cols].itertuples(index=False)], cols
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
