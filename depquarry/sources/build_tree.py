@@ -15,9 +15,11 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 from copy import deepcopy
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,7 @@ BLOCK = 1 << 16
 _node = re.compile(r"(.*?)\+-(.*)")
 _TREE = "tree_id string, pos long, depth int, name string, pruned boolean, type string, parent_pos long, parent_name string, parent_type string, child_ordinal int, end_pos long, inlineCode string"
 _NAMES = [c.split()[0] for c in _TREE.split(", ")]
+_ARROW = pa.schema([(c.split()[0], {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}[c.split()[1]]) for c in _TREE.split(", ")])
 _POS, _END, _CODE = (_NAMES.index(c) for c in ("pos", "end_pos", "inlineCode"))
 _BEFORE, _INSIDE, _DONE = 0, 1, 2
 
@@ -204,8 +207,24 @@ def _pairs(pdf: pd.DataFrame) -> list[tuple[int, str]]:
     return list(zip(pdf.pos.tolist(), pdf.line.tolist()))
 
 
-def _whole(pdf: pd.DataFrame) -> pd.DataFrame:
-    return _frame(tree_rows(pdf.tree_id.iloc[0], _pairs(pdf)), _NAMES)
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Trees one after another, each in one go, from lines in order."""
+    tree_id, lines = None, []
+
+    def made(rows: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
+
+    for batch in batches:
+        rows: list[list] = []
+        for t, pos, line in zip(*[batch.column(c).to_pylist() for c in ("tree_id", "pos", "line")]):
+            if t != tree_id:
+                rows += tree_rows(tree_id, lines)
+                tree_id, lines = t, []
+            lines.append((pos, line))
+        if rows:
+            yield made(rows)
+    if rows := tree_rows(tree_id, lines):
+        yield made(rows)
 
 
 def _effect(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -238,9 +257,11 @@ def parse_build_tree(lines: DataFrame, block: int = BLOCK) -> DataFrame:
     numbers the lines of a tree; ``block`` of them are parsed at once."""
     lines = written(lines.select("tree_id", "pos", "line"), "tree-lines").withColumn("block", F.floor(F.col("pos") / block))
     long = written(lines.filter("block > 0").select("tree_id").distinct(), "long-trees")
+    n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole = lambda rows: rows.select("tree_id", "pos", "line").repartition(n, "tree_id").sortWithinPartitions("tree_id", "pos").mapInArrow(_whole, _TREE)
     if long.isEmpty():
-        return lines.select("tree_id", "pos", "line").groupBy("tree_id").applyInPandas(_whole, _TREE)
-    short = lines.join(long, "tree_id", "left_anti").select("tree_id", "pos", "line").groupBy("tree_id").applyInPandas(_whole, _TREE)
+        return whole(lines)
+    short = whole(lines.join(long, "tree_id", "left_anti"))
     key, at = ["tree_id", "block"], "tree_id string, block long"
     parts = lines.join(long, "tree_id", "left_semi")
     effects = written(parts.groupBy(*key).applyInPandas(_effect, f"{at}, exact boolean, effect string"), "effects")

@@ -156,11 +156,12 @@ def test_json_strings_of_any_split(spark, tmp_path):
             (tmp_path / f"m{i}.json").write_text(json.dumps(table, **kind))
             for size in ("61", "337", "128m"):
                 spark.conf.set("spark.sql.files.maxPartitionBytes", size)
-                got = sorted((r.item, r.text) for r in json_map.json_strings(spark, str(tmp_path / f"m{i}.json")).collect())
+                got = sorted((r.item, r.text) for r in json_map.json_strings(spark, {"x": str(tmp_path / f"m{i}.json")}).collect())
                 assert got == want
         (tmp_path / "list.json").write_text(json.dumps([v for _, v in want]))
         spark.conf.set("spark.sql.files.maxPartitionBytes", "61")
-        assert sorted(r.text for r in json_map.json_strings(spark, str(tmp_path / "list.json")).collect()) == sorted(v for _, v in want)
+        got = json_map.json_strings(spark, {"list": str(tmp_path / "list.json"), "map": str(tmp_path / "m0.json")}).collect()
+        assert sorted(r.text for r in got if r.source == "list") == sorted(v for _, v in want) and sorted((r.item, r.text) for r in got if r.source == "map") == want
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
@@ -171,6 +172,6 @@ def test_dump_round_trip(spark, tmp_path):
     back = graph_io.load_dump(spark, str(tmp_path / "dump"))
     assert rows(back.edges, "relationship", "item", "dep") == rows(g.edges, "relationship", "item", "dep")
     assert rows(back.nodes, "kind", "name") == rows(g.nodes, "kind", "name")
-    text = "".join(p.read_text() for p in sorted((tmp_path / "dump" / "archives_to_components.json").glob("part-*")))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "dump" / "relationship=archives_to_components").glob("part-*")))
     assert json.loads(text) == {"l.a": ["a.o", "b.o"]}
-    assert json.loads("".join(p.read_text() for p in sorted((tmp_path / "dump" / "symbols.json").glob("part-*")))) == ['s"1', "t\\"]
+    assert json.loads("".join(p.read_text() for p in sorted((tmp_path / "dump" / "kind=symbol").glob("part-*")))) == ['s"1', "t\\"]
