@@ -214,10 +214,15 @@ HOT_SHARE = 1000
 
 def join_hot(rows: DataFrame, named: DataFrame, on: list[str], weight: str) -> DataFrame:
     """Inner join of ``rows`` with ``named``, which has one row a key and, as ``weight``, how many rows of ``rows`` about
-    meet it. The keys of a thousandth of the weight or more, a thousand at most, are broadcast; the rest is shuffled."""
+    meet it. The keys of a thousandth of the weight or more, a thousand at most, are listed and broadcast; the rest is
+    shuffled."""
     hot = F.col(weight) * HOT_SHARE >= (named.agg(F.sum(weight)).first()[0] or 0)
-    hot_ids, cold_ids = F.broadcast(named.filter(hot).drop(weight)), named.filter(~hot).drop(weight)
-    return rows.join(hot_ids, on).unionByName(rows.join(hot_ids.select(*on), on, "left_anti").join(cold_ids, on))
+    listed = [tuple(r) for r in named.filter(hot).select(*on).collect()]
+    if not listed:
+        return rows.join(named.drop(weight), on)
+    key = F.col(on[0]) if len(on) == 1 else F.struct(*on)
+    among = key.isin([F.lit(x[0]) if len(on) == 1 else F.struct(*[F.lit(v).alias(c) for v, c in zip(x, on)]) for x in listed])
+    return rows.filter(among).join(F.broadcast(named.filter(hot).drop(weight)), on).unionByName(rows.filter(~among).join(named.filter(~hot).drop(weight), on))
 
 
 SIEVE_BITS, _SEGMENTS = 31, 8
