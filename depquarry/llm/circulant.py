@@ -35,7 +35,7 @@ from .components import connected_components
 SHINGLE, SIMILARITY = 2, 80
 UNIVERSE_BITS, COORDINATES, ROWS = 20, 252, 6
 #: Classes and shingles of a chunk; a comparison group holds two chunks at most.
-CHUNK, CHUNK_SHINGLES = 2048, 1 << 21
+CHUNK, CHUNK_SHINGLES = 512, 1 << 21
 _TABLE: list[np.ndarray] = []
 
 
