@@ -87,7 +87,7 @@ def signed(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), fn, schema)
 
 
-def links_among(cols: dict, starts: np.ndarray) -> dict:
+def links_among(cols: dict, starts: np.ndarray, k: int = SHINGLE) -> dict:
     """Groups of classes (id, label, mine, lo, hi, text): a spanning forest (a, b) of labels that links between classes of
     different labels connect. In a group of two chunks only classes of different chunks are compared."""
     a, b = [], []
@@ -95,7 +95,7 @@ def links_among(cols: dict, starts: np.ndarray) -> dict:
         ids, of, mine = cols["id"][lo:hi], cols["label"][lo:hi], cols["mine"][lo:hi]
         if hi - lo < 2 or (of == of[0]).all():
             continue
-        sets = [shingle_set((t or "").encode()) for t in cols["text"][lo:hi]]
+        sets = [shingle_set((t or "").encode(), k) for t in cols["text"][lo:hi]]
         size, two = np.array([len(s) for s in sets]), cols["lo"][lo] != cols["hi"][lo]
         names, label = np.unique(of, return_inverse=True)
         at = np.append(0, np.cumsum(size))
@@ -110,19 +110,19 @@ def links_among(cols: dict, starts: np.ndarray) -> dict:
                 continue
             own, step = sets[i], size[j]
             ends = np.cumsum(step)
-            other = flat[np.repeat(at[j] - (ends - step), step) + np.arange(ends[-1])]
-            found = np.searchsorted(own, other)
+            theirs = flat[np.repeat(at[j] - (ends - step), step) + np.arange(ends[-1])]
+            found = np.searchsorted(own, theirs)
             found[found == len(own)] = 0
-            both = np.add.reduceat(own[found] == other, ends - step, dtype=np.int64)
-            for k in np.unique(label[j[100 * both >= SIMILARITY * (size[i] + step - both)]]).tolist():
+            both = np.add.reduceat(own[found] == theirs, ends - step, dtype=np.int64)
+            for other in np.unique(label[j[100 * both >= SIMILARITY * (size[i] + step - both)]]).tolist():
                 a.append(names[label[i]])
-                b.append(names[k])
-                label[label == k] = label[i]
+                b.append(names[other])
+                label[label == other] = label[i]
     return {"a": np.array(a, np.int64), "b": np.array(b, np.int64)}
 
 
-def _compared(groups: DataFrame, texts: DataFrame) -> DataFrame:
-    """``groups`` (key, id, n, label) -> links (a, b) between labels. Large groups are dealt out as pairs of chunks."""
+def compared(groups: DataFrame, texts: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """``groups`` (key, id, n, label) -> links (a, b) between labels, by sets of ``k``-word shingles. Large groups are dealt out as pairs of chunks."""
     size = groups.groupBy("key").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
     size = written(size.select("key", "rows", F.greatest(F.ceil(F.col("rows") / CHUNK), F.ceil(F.col("shingles") / CHUNK_SHINGLES)).alias("chunks")), "group-sizes")
     rows = join_hot(groups.select("key", "id", "label"), size, ["key"], "rows").select("key", "id", "label", "chunks", F.pmod(F.xxhash64("id", "key"), "chunks").alias("mine"))
@@ -130,11 +130,12 @@ def _compared(groups: DataFrame, texts: DataFrame) -> DataFrame:
     rows = rows.select("key", "id", "label", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
     met = written(rows.groupBy("id").agg(F.count("*").alias("times")), "met")
     texts = written(texts.join(met, "id"), "texts")
-    return map_sorted_groups(join_hot(rows, texts, ["id"], "times"), ["key", "lo", "hi"], links_among, struct(a="long", b="long"), order=["id"])
+    linked = lambda cols, starts: links_among(cols, starts, k)
+    return map_sorted_groups(join_hot(rows, texts, ["id"], "times"), ["key", "lo", "hi"], linked, struct(a="long", b="long"), order=["id"])
 
 
-def _texts_of(docs: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, text) of the classes with those ids: ``docs`` passes a sieve first, so that few texts are shuffled."""
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the documents with those ids: ``docs`` passes a sieve first, so that few texts are shuffled."""
     wanted = written(ids.select("id").distinct(), "wanted")
     passes = sieve(wanted, wanted.count())
     kinds = struct(doc_id="long", text="string")
@@ -161,8 +162,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     led = leader.filter("id <> leader")
     first = led.select(F.col("leader").alias("key"), "id", "n", F.col("id").alias("label"))
     heads = leader.join(led.select(F.col("leader").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("key"), "id", "n", F.col("id").alias("label"))
-    texts = written(_texts_of(docs, classes, leader), "shared-texts")
-    links = written(_compared(written(first.unionByName(heads), "led"), texts), "links")
+    texts = written(texts_of(docs, leader), "shared-texts")
+    links = written(compared(written(first.unionByName(heads), "led"), texts), "links")
 
     label = connected_components(links).withColumnsRenamed({"v": "id", "l": "label"})
     known = written(leader.join(label, "id", "left").select("id", "leader", F.coalesce("label", "id").alias("label")), "labels")
@@ -170,7 +171,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     under_low = F.sum(((F.col("id") != F.col("low")) & (F.col("leader") != F.col("low"))).cast("long")) == 0
     left = there.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), (under_low | (F.min("leader") == F.max("leader"))).alias("done"), F.count("*").alias("rows")).filter("l0 < l1 and not done")
     rest = written(join_hot(there.select("key", "id", "n", "label"), written(left.select("key", "rows"), "left"), ["key"], "rows"), "rest")
-    more = written(_compared(rest, texts), "links")
+    more = written(compared(rest, texts), "links")
 
     joined = known.filter("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b")).unionByName(more)
     component = connected_components(joined).withColumnsRenamed({"v": "id", "l": "component_id"})

@@ -11,11 +11,12 @@ dealt out as pairs of chunks; each compared group reports a spanning forest, nev
 leaders are compared first; lanes that they bring together are laid side by side, and a block of lanes that all belong
 to the query's own component is not compared again.
 
-``similar_documents`` and ``deduplicate`` look for a Jaccard similarity of 0.8 or more of the 5-word shingles: 256 bits
-of the distinct shingles, of which similarity 0.8 differs in 39 on average, compared the same way at ``WIDE_RADIUS``. At
-that radius no few blocks must agree, so keys are ``KEY_ROUNDS`` deals of the 256 bits into keys of ``KEY_BITS``; the
-README states the share of pairs found by similarity. ``KEY_BITS`` sets how many strangers meet in a key: on far more
-than 2^24 distinct texts take more bits and more deals.
+``similar_documents`` proposes groups of a Jaccard similarity of 0.8 or more of the 5-word shingles: 256 bits of the
+distinct shingles, of which similarity 0.8 differs in 39 on average, compared the same way at ``WIDE_RADIUS``. At that
+radius no few blocks must agree, so keys are ``KEY_ROUNDS`` deals of the 256 bits into keys of ``KEY_BITS``; the README
+states the share of pairs found by similarity. ``KEY_BITS`` sets how many strangers meet in a key: on far more than 2^24
+distinct texts take more bits and more deals. ``verified_documents`` then compares the whole sets inside a proposed group
+and keeps the links that hold, so that ``deduplicate`` drops no document without a link of 0.8 or more.
 
 Null text counts as empty (fingerprint zero, linked like any other). Repeated rows get equal results. Null ``doc_id``
 rows get a fingerprint, count for no component's smallest id, and have the component of their fingerprint (null if it
@@ -34,12 +35,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import bytes_of, map_batches, map_sorted_groups, mix64, rolling, struct, table, word_hashes, written
+from ._common import bytes_of, join_hot, map_batches, map_sorted_groups, mix64, rolling, struct, table, word_hashes, written
+from .circulant import compared, shingle_set, texts_of
 from .components import connected_components
 
 SHINGLE, SEED, RADIUS, CHUNK, HOT = 3, 42, 3, 4096, 1000
 BLOCKS = (11, 11, 11, 11, 10, 10)
-WIDE_SHINGLE, WIDE_RADIUS, KEY_BITS, KEY_ROUNDS = 5, 44, 16, 3
+WIDE_SHINGLE, WIDE_RADIUS, KEY_BITS, KEY_ROUNDS = 5, 50, 16, 3
 WIDE = ("f0", "f1", "f2", "f3")
 CONTRACTIONS = 2
 _PAIRS_AT_ONCE = 1 << 15
@@ -292,6 +294,28 @@ def similar_documents(docs: DataFrame, shingle: int = WIDE_SHINGLE, radius: int
     return _of_rows(fps, named, list(WIDE)).select("doc_id", "component_id")
 
 
+def verified_documents(docs: DataFrame, shingle: int = WIDE_SHINGLE) -> DataFrame:
+    """As ``similar_documents``, by those links only whose texts' shingle sets have a Jaccard similarity of 0.8 or more."""
+    proposed = written(similar_documents(docs, shingle).distinct(), "proposed")
+    sizes = proposed.groupBy("component_id").agg(F.count("*").alias("members")).filter("members > 1")
+    ids = written(join_hot(proposed, written(sizes, "groups"), ["component_id"], "members").select(F.col("doc_id").alias("id"), F.col("component_id").alias("key")), "members")
+
+    def fn(batch: pa.RecordBatch) -> dict:
+        sets = [shingle_set(raw, shingle) for raw in bytes_of(batch)]
+        c = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8") for s in sets], np.int64).reshape(-1, 2)
+        return {"id": batch.column("id"), "n": [len(s) for s in sets], "c1": np.ascontiguousarray(c[:, 0]), "c2": np.ascontiguousarray(c[:, 1])}
+
+    texts = written(texts_of(docs, ids), "member-texts")
+    hashed = written(map_batches(texts, fn, struct(id="long", n="long", c1="long", c2="long")).join(ids, "id"), "hashed")
+    # of equal sets in a group only the smallest id is compared; the others are its copies
+    first = hashed.groupBy("key", "c1", "c2").agg(F.min("id").alias("first"), F.max("n").alias("n"), F.count("*").alias("copies"))
+    first = written(first, "firsts")
+    links = written(compared(first.select("key", F.col("first").alias("id"), "n", F.col("first").alias("label")).distinct(), texts, shingle), "verified")
+    copies = join_hot(hashed.select("id", "key", "c1", "c2"), first.drop("n"), ["key", "c1", "c2"], "copies").filter("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
+    labels = connected_components(links.unionByName(copies)).withColumnsRenamed({"v": "doc_id", "l": "found"})
+    return proposed.select("doc_id").join(labels, "doc_id", "left").select("doc_id", F.coalesce("found", "doc_id").alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: one row per row of ``docs``."""
     fps = written(fingerprints(docs), "fingerprints")
@@ -314,9 +338,9 @@ def _of_rows(fps: DataFrame, named: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component of ``similar_documents``, that of the smallest ``doc_id``. Rows of one ``doc_id`` are one
+    """``docs`` with one document of each component of ``verified_documents``, that of the smallest ``doc_id``. Rows of one ``doc_id`` are one
     document (that of the smallest text stays); rows without one cannot be named and stay as they are."""
-    groups = written(similar_documents(docs).groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")), "groups")
+    groups = written(verified_documents(docs).groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")), "groups")
     keep = groups.filter("doc_id = component_id")
     once = docs.join(keep.filter("n = 1").select("doc_id").hint("merge"), "doc_id", "left_semi")  # one plan at every size
     repeated = docs.join(keep.filter("n > 1").select("doc_id"), "doc_id", "left_semi")
