@@ -506,5 +506,5 @@ def test_registry(spark):
     import __spark_entry__ as entry
 
     ops = {k.split("_")[0] for k in entry.queries() if k.startswith("op")}
-    assert ops == {f"op{n}" for n in range(1, 11)} and "pipeline" in entry.queries()
+    assert ops == {f"op{n}" for n in range(1, 14)} and "pipeline" in entry.queries()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "decontamination", "pii", "packing"]
