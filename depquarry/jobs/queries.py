@@ -61,6 +61,16 @@ def _archives(g: Graph) -> DataFrame:
     return libs.all_archives(g)
 
 
+def _stored(spark: SparkSession, g: Graph) -> Graph:
+    """Written once and read by relationship, for queries that look at most of them many times."""
+    from ..sources.graph_io import read_graph, write_graph
+    from ..storage import scratch_path
+
+    path = scratch_path(spark, "graph")
+    write_graph(g, path)
+    return read_graph(spark, path)
+
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -497,6 +507,7 @@ FROM hier LEFT JOIN ex ON f = hier.file LEFT JOIN fx ON fx.file = hier.file LEFT
 
 @_query(_REPORT)
 def module_report(spark, sf_dir, g):
+    g = _stored(spark, g)
     return modules.module_report(g, testgraph.modules(spark, sf_dir), _version(spark), "https://example.org/tree/", testgraph.programs(spark, sf_dir))
 
 
@@ -624,6 +635,7 @@ UNION ALL """
 
 @_query(_PAGES)
 def module_pages(spark, sf_dir, g):
+    g = _stored(spark, g)
     flat = testgraph.modules(spark, sf_dir)
     version = lookups.version_and_build_info(lookups.attach_extra_info(spark, 1, sf_dir, _EXTRA_INFO))
     report = modules.module_report(g, flat, version, "https://example.org/tree/", testgraph.programs(spark, sf_dir))
