@@ -7,8 +7,9 @@ from collections import Counter
 import numpy as np
 import pytest
 from helpers import awkward, empty
+from pyspark.sql import functions as F
 
-from depquarry.llm import circulant, divergence, prefixes, simhash
+from depquarry.llm import _common, circulant, divergence, prefixes, simhash
 
 # source divergence audit
 
@@ -232,3 +233,13 @@ def test_families_below_the_threshold_stay(spark):
     assert kept >= {i + 1 for i, x in near.items() if not x}  # no unlike document goes
     alike = [i for i, x in near.items() if x]
     assert sum(i + 1 not in kept for i in alike) >= 0.95 * len(alike) and len(alike) > 40
+
+
+def test_join_with_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(_common, "HOT_SHARE", 4)
+    rows = spark.createDataFrame([(i % 7 if i < 30 else -3, i % 2) for i in range(100)], "k long, j long")
+    for on in (["k"], ["k", "j"]):
+        named = rows.groupBy(*on).agg(F.count("*").alias("n"), F.max("j").alias("z")).filter("k <> 2")
+        got = sorted(tuple(r) for r in _common.join_hot(rows, named, on, "n").collect())
+        assert got == sorted(tuple(r) for r in rows.join(named.drop("n"), on).select(*_common.join_hot(rows, named, on, "n").columns).collect()) and len(got) == 96
+    assert _common.join_hot(rows.limit(0), named.limit(0), on, "n").count() == 0
