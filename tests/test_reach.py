@@ -168,11 +168,15 @@ def test_json_strings_of_any_split(spark, tmp_path):
 
 
 def test_dump_round_trip(spark, tmp_path):
-    g = graph(spark, {"a.o": ['s"1', "t\\"]}, {"b.o": ["t\\"]}, {"l.a": ["a.o", "b.o"]}, {})
+    more = {f"m{i}.o": sorted({f"u{i % 7}", f"u{i % 5}"}) for i in range(60)}
+    g = graph(spark, {"a.o": ['s"1', "t\\"], **more}, {"b.o": ["t\\"]}, {"l.a": ["a.o", "b.o"]}, {})
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several part files a map
     graph_io.dump_graph(g, str(tmp_path / "dump"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "dump" / "relationship=file_to_symbol_dependencies").glob("part-*"))) > 1
     back = graph_io.load_dump(spark, str(tmp_path / "dump"))
     assert rows(back.edges, "relationship", "item", "dep") == rows(g.edges, "relationship", "item", "dep")
     assert rows(back.nodes, "kind", "name") == rows(g.nodes, "kind", "name")
     text = "".join(p.read_text() for p in sorted((tmp_path / "dump" / "relationship=archives_to_components").glob("part-*")))
     assert json.loads(text) == {"l.a": ["a.o", "b.o"]}
-    assert json.loads("".join(p.read_text() for p in sorted((tmp_path / "dump" / "kind=symbol").glob("part-*")))) == ['s"1', "t\\"]
+    assert json.loads("".join(p.read_text() for p in sorted((tmp_path / "dump" / "kind=symbol").glob("part-*")))) == ['s"1', "t\\", *(f"u{i}" for i in range(7))]
