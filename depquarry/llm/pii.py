@@ -4,13 +4,14 @@ High-recall generators propose spans of four kinds (email, ip, card, phone) that
 from its format and context; a span is taken if its score reaches its kind's calibrated threshold. Spans that meet the
 base rules are always taken; others only where they overlap no taken span.
 
-The trees are fitted on a bounded sample (``SAMPLE_DOCS``, ``SAMPLE_SPANS``): candidates of documents drawn by a hash
-of ``doc_id``. The base format is no label: base spans are rewritten where they stand into the wider forms
+The trees are fitted on the labelled candidates of all documents. Tasks count equal ones; a level of a tree needs the histograms of these counts only. Up to ``_FEW`` distinct vectors the
+driver takes the counts themselves, beyond that tasks make the histograms, a pass a level. Sums are of integers, so the
+model does not depend on how the table is partitioned. The base format is no label: base spans are rewritten where they stand into the wider forms
 (``variants``) as positives and into look-alikes as negatives; further negatives are the text's own candidates that meet
 a base span of another kind, fail their kind's test, or are one bare run of digits. Other candidates are of unknown kind
 and left out. A hash of the source holds a third back; on these each kind's threshold is the smallest score from which
-precision is ``PRECISION`` or more (a kind without enough of them takes base spans only). Everything else covers every
-whole text.
+precision is ``PRECISION`` or more (a kind without enough of them takes base spans only). All of this covers every whole
+text.
 
 Null text counts as empty. Repeated rows are handled one by one; ties between scores go to the earlier, then longer
 span. An empty table gives no rows. Extra columns are kept by ``redact`` and ignored by ``find_pii``. Every generator
@@ -21,17 +22,21 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct as packed
 import zlib
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import map_batches, struct, table, texts_of
+from ._common import map_batches, struct, table, texts_of, written
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_DOCS, SAMPLE_SPANS, PRECISION, LEAST_HELD = 4000, 20_000, 0.95, 20
+PRECISION, LEAST_HELD = 0.95, 20
 TREES, DEPTH, RATE, BINS, AT_ONCE = 30, 3, 0.3, 16, 10_000
 CONTEXT = 40
 
@@ -127,9 +132,12 @@ def variants(kind: int, s: str) -> list[tuple[str, bool]]:
     """A base span in wider forms (true), and look-alikes (false)."""
     digits = _digits(s)
     if kind == 0:
-        local, domain = s.split("@", 1)
-        out = [(local + at + domain.replace(".", dot), True) for at, dot in ((" [at] ", " [dot] "), ("(at)", "(dot)"), (" at ", " dot "), ("[at]", "."), (" (at) ", "."))]
-        return out + [(f"{local.split('.')[0]} at {domain.split('.')[0]}.{x}", False) for x in ("html", "5", "Then")]
+        out, named = [], tuple(s.split("@", 1))
+        plain = (re.sub("[0-9]", "", named[0]).strip("._%+-") or named[0], ".".join(re.sub("[0-9]", "", x) or x for x in named[1].split(".")))
+        for local, domain in dict.fromkeys((named, plain)):  # an address needs no digits
+            out += [(local + at + domain.replace(".", dot), True) for at, dot in ((" [at] ", " [dot] "), ("(at)", "(dot)"), (" at ", " dot "), ("[at]", "."), (" (at) ", "."))]
+            out += [(f"{local.split('.')[0]} at {domain.split('.')[0]}.{x}", False) for x in ("html", "5", "Then")]
+        return out
     if kind == 1:
         parts = s.split(".")
         wrong = [*parts[:2], str(300 + int(parts[2][-3:]) % 600), parts[3]]
@@ -187,74 +195,71 @@ def features(text: str, kind: int, start: int, end: int) -> list[float]:
     ]
 
 
+_UNIT = float(1 << 30)  # gradients are summed as whole numbers of 2^-30
+
+
 class Trees:
     """Gradient-boosted trees of fixed depth for a logistic loss, on binned features."""
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Trees:
-        self.cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(x.shape[1])]
-        b = self._binned(x)
-        self.bias = float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
-        score, self.trees = np.full(len(y), self.bias), []
-        for _ in range(TREES):
-            p = 1 / (1 + np.exp(-score))
-            tree = self._grow(b, y - p, np.maximum(p * (1 - p), 1e-9))
-            self.trees.append(tree)
-            score += self._walk(tree, b)
-        return self
-
-    def _binned(self, x: np.ndarray) -> np.ndarray:
+    def __init__(self, cuts: list[np.ndarray], bias: float):
+        self.cuts, self.bias, self.trees = cuts, bias, []
+
+    def binned(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(self.cuts)], axis=1)
 
-    def _grow(self, b: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Feature and bin of every inner node, value of every leaf, in heap order."""
-        feature, cut, node = np.zeros(2**DEPTH - 1, np.int64), np.full(2**DEPTH - 1, BINS, np.int64), np.zeros(len(g), np.int64)
-        for i in range(2**DEPTH - 1):
-            here = np.flatnonzero(node == i)
-            best = 1e-6
-            for j in range(b.shape[1] if len(here) else 0):
-                gs, hs = (np.cumsum(np.bincount(b[here, j], w[here], BINS + 1)) for w in (g, h))
-                gain = gs**2 / (hs + 1) + (gs[-1] - gs) ** 2 / (hs[-1] - hs + 1) - gs[-1] ** 2 / (hs[-1] + 1)
-                if gain.max() > best + 1e-9:
-                    best, feature[i], cut[i] = gain.max(), j, int(gain.argmax())
-            node[here] = 2 * i + 1 + (b[here, feature[i]] > cut[i])
-        leaf = node - (2**DEPTH - 1)
-        gl, hl = (np.bincount(leaf, w, 2**DEPTH) for w in (g, h))
-        return feature, cut, RATE * gl / (hl + 1)
+    def histograms(self, b: np.ndarray, y: np.ndarray, n: np.ndarray, feature: np.ndarray, cut: np.ndarray, level: int) -> np.ndarray:
+        """Gradients and their weights of ``n`` times each row by (sum, node of the level, feature, bin); ``feature`` and ``cut`` are the growing tree's."""
+        p = self.of_binned(b)
+        first = 2**level - 1
+        node = self._node(feature, cut, b, level) - first
+        out = np.empty((2, 2**level, b.shape[1], BINS + 1), np.int64)
+        for i, w in enumerate((y - p, np.maximum(p * (1 - p), 1e-9))):
+            w = np.rint(w * _UNIT).astype(np.int64) * n
+            for j in range(b.shape[1]):
+                sums = np.zeros(2**level * (BINS + 1), np.int64)
+                np.add.at(sums, node * (BINS + 1) + b[:, j], w)
+                out[i, :, j] = sums.reshape(2**level, BINS + 1)
+        return out
+
+    def grow(self, histograms) -> None:
+        """One more tree: feature and bin of every inner node, value of every leaf, in heap order. ``histograms(feature, cut, level)`` sums them over all rows."""
+        feature, cut, leaves = np.zeros(2**DEPTH - 1, np.int64), np.full(2**DEPTH - 1, BINS, np.int64), []
+        for level in range(DEPTH):
+            g, h = np.cumsum(histograms(feature, cut, level) / _UNIT, axis=3)
+            leaves = []
+            for k in range(2**level):
+                i, best = 2**level - 1 + k, 1e-6
+                for j in range(g.shape[1]):
+                    gs, hs = g[k, j], h[k, j]
+                    gain = gs**2 / (hs + 1) + (gs[-1] - gs) ** 2 / (hs[-1] - hs + 1) - gs[-1] ** 2 / (hs[-1] + 1)
+                    if gain.max() > best + 1e-9:
+                        best, feature[i], cut[i] = gain.max(), j, int(gain.argmax())
+                gs, hs = g[k, feature[i]], h[k, feature[i]]
+                leaves += [gs[cut[i]] / (hs[cut[i]] + 1), (gs[-1] - gs[cut[i]]) / (hs[-1] - hs[cut[i]] + 1)]
+        self.trees.append((feature, cut, RATE * np.array(leaves)))
 
     @staticmethod
-    def _walk(tree: tuple[np.ndarray, np.ndarray, np.ndarray], b: np.ndarray) -> np.ndarray:
-        feature, cut, value = tree
+    def _node(feature: np.ndarray, cut: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
         node, rows = np.zeros(len(b), np.int64), np.arange(len(b))
-        for _ in range(DEPTH):
+        for _ in range(depth):
             node = 2 * node + 1 + (b[rows, feature[node]] > cut[node])
-        return value[node - (2**DEPTH - 1)]
+        return node
+
+    def of_binned(self, b: np.ndarray) -> np.ndarray:
+        score = np.full(len(b), self.bias)
+        for feature, cut, value in self.trees:
+            score += value[self._node(feature, cut, b, DEPTH) - (2**DEPTH - 1)]
+        return 1 / (1 + np.exp(-score))
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        b = self._binned(x)
-        return 1 / (1 + np.exp(-(self.bias + sum(self._walk(t, b) for t in self.trees))))
+        return self.of_binned(self.binned(x))
 
 
 class Model:
-    """Trees and thresholds; without both labels in the sample it adds nothing to the base spans."""
-
-    def __init__(self, rows: list[tuple[list[float], bool, bool]]):
-        x = np.array([r[0] for r in rows], np.float64).reshape(-1, FEATURES)
-        y, held = np.array([r[1] for r in rows], bool), np.array([r[2] for r in rows], bool)
-        self.trees, self.thresholds = None, [2.0] * len(KINDS)
-        if len(set(y[~held].tolist())) < 2:
-            return
-        self.trees = Trees().fit(x[~held], y[~held].astype(float))
-        score = self.trees.predict(x[held]) if held.any() else np.empty(0)
-        for k in range(len(KINDS)):
-            of = x[held, 0] == k
-            s, t = score[of], y[held][of]
-            if len(s) < LEAST_HELD or not t.any():
-                continue
-            order = np.argsort(-s, kind="stable")
-            precise = np.cumsum(t[order]) / np.arange(1, len(s) + 1) >= PRECISION
-            last = np.append(s[order][1:] != s[order][:-1], True) & precise  # thresholds cannot part equal scores
-            if last.any():
-                self.thresholds[k] = float(s[order][np.flatnonzero(last)[-1]])
+    """Trees and thresholds; without trees it adds nothing to the base spans."""
+
+    def __init__(self, trees: Trees | None, thresholds: dict[int, float] | None = None):
+        self.trees, self.thresholds = trees or None, [(thresholds or {}).get(k, 2.0) for k in range(len(KINDS))]
 
     def spans(self, text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tuple[int, int]]]]:
         """Base spans, and all spans, by kind and start."""
@@ -276,23 +281,131 @@ class Model:
         return base, {k: sorted(v) for k, v in every.items()}
 
 
-_SAMPLED = struct(order="long", x="array<double>", label="boolean", held="boolean")
+_LABELLED = struct(x="binary", label="boolean", held="boolean", n="long")
+_BINNED = struct(b="binary", kind="int", label="boolean", held="boolean", n="long")
+#: Distinct candidates that a task sums up, and distinct binned ones from which on the driver sees histograms only.
+_AT_ONCE, _FEW = 100_000, 50_000
+
 
+def labelled(docs: DataFrame) -> DataFrame:
+    """(x, label, held, n): the labelled candidates of all documents, equal ones counted; features as 16-bit numbers, which
+    the generators' lengths keep small."""
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_spans: int = SAMPLE_SPANS) -> Model:
-    """A model from a bounded sample; the same for the same table, however it is partitioned."""
-    share = min(1.0, sample_docs / max(1, docs.count()))
-    sampled = docs.select("doc_id", "text").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(share * 1_000_003) + 1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+
+        def counted() -> pa.RecordBatch:
+            rows = [(*k, n) for k, n in counts.items()]
+            counts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.binary(), pa.bool_(), pa.bool_(), pa.int64()))], names=_LABELLED.names)
+
+        for batch in batches:
+            for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch)):
+                for source, x, good in examples(text):
+                    counts[packed.pack(f"<{FEATURES}h", *map(int, x)), good, zlib.crc32(f"{doc}:{source}".encode()) % 3 == 0] += 1
+                if len(counts) > _AT_ONCE:
+                    yield counted()
+        if counts:
+            yield counted()
+
+    return docs.select("doc_id", "text").mapInArrow(run, _LABELLED).groupBy("x", "label", "held").agg(F.sum("n").alias("n"))
+
+
+def _matrix(batch: pa.RecordBatch, name: str, dtype: str) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column(name).to_pylist()), dtype).reshape(batch.num_rows, FEATURES).astype(np.int64)
+
+
+def _value_counts(rows: DataFrame) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each feature its values (lengths, counts and flags: a few hundred at most), how often each occurs, and with a true label."""
+    kinds = struct(feature="int", value="int", n="long", good="long")
 
     def fn(batch: pa.RecordBatch) -> dict:
-        rows = []
-        for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch)):
-            for i, (source, x, good) in enumerate(examples(text)):
-                rows.append((zlib.crc32(f"{doc}:{source}:{i}".encode()), x, good, zlib.crc32(f"{doc}:{source}".encode()) % 3 == 0))
-        return dict(zip(_SAMPLED.names, map(list, zip(*rows)))) if rows else {n: [] for n in _SAMPLED.names}
+        x, n = _matrix(batch, "x", "<i2"), batch.column("n").to_numpy()
+        good, out = n * batch.column("label").to_numpy(zero_copy_only=False), {c: [] for c in kinds.names}
+        for j in range(FEATURES):
+            v, at = np.unique(x[:, j], return_inverse=True)
+            sums = np.zeros((2, len(v)), np.int64)
+            for s, w in zip(sums, (n, good)):
+                np.add.at(s, at, w)
+            for c, part in zip(kinds.names, (np.full(len(v), j), v, *sums)):
+                out[c] += part.tolist()
+        return out
 
-    rows = map_batches(sampled, fn, _SAMPLED).orderBy("order", F.hash("x")).limit(sample_spans).collect()
-    return Model([(r.x, r.label, r.held) for r in rows])
+    found = map_batches(rows, fn, kinds).groupBy("feature", "value").agg(F.sum("n"), F.sum("good")).orderBy("feature", "value").collect()
+    return [tuple(np.array([r[i] for r in found if r[0] == j], np.int64) for i in (1, 2, 3)) for j in range(FEATURES)]
+
+
+def quantiles(values: np.ndarray, counts: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """``np.quantile`` of sorted values that occur ``counts`` times each."""
+    end = np.cumsum(counts)
+    at = (end[-1] - 1) * q
+    low, high = (values[np.searchsorted(end, f(at).astype(np.int64), "right")] for f in (np.floor, np.ceil))
+    return low + (high - low) * (at - np.floor(at))
+
+
+def _thresholds(scored: DataFrame) -> dict[int, float]:
+    """(kind, score, n, good) -> each kind's smallest score from which on precision is ``PRECISION`` or more. Running sums over
+    range partitions: the driver sees a number a partition and kind."""
+    order = [F.col("kind"), F.col("score").desc()]
+    n = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = written(scored.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), "scored")
+    bases, run = [], {}
+    for r in sorted(rows.groupBy("part", "kind").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).collect(), key=lambda r: r.part):
+        before = run.get(r.kind, (0, 0))
+        bases.append((r.part, r.kind, *before))
+        run[r.kind] = (before[0] + r.n, before[1] + r.good)
+    enough = [k for k, (n, good) in run.items() if n >= LEAST_HELD and good]
+    if not enough:
+        return {}
+    base = F.broadcast(scored.sparkSession.createDataFrame(bases, "part int, kind int, n0 long, good0 long"))
+    upto = W.partitionBy("part", "kind").orderBy(F.col("score").desc())
+    sums = rows.join(base, ["part", "kind"]).select("kind", "score", (F.sum("n").over(upto) + F.col("n0")).alias("n"), (F.sum("good").over(upto) + F.col("good0")).alias("good"))
+    precise = sums.filter(F.col("kind").isin(enough) & (F.col("good") / F.col("n") >= PRECISION))
+    return {r.kind: r.score for r in precise.groupBy("kind").agg(F.min("score").alias("score")).collect()}
+
+
+def fit(docs: DataFrame) -> Model:
+    """A model from all documents; the same for the same table, however it is partitioned."""
+    rows = written(labelled(docs), "labelled")
+    counts = _value_counts(rows.filter("not held"))
+    n, good = int(counts[0][1].sum()), int(counts[0][2].sum())
+    if not 0 < good < n:
+        return Model(None)
+    cuts = [np.unique(quantiles(v, c, np.linspace(0, 1, BINS + 1)[1:-1])) for v, c, _ in counts]
+    trees = Trees(cuts, float(np.log((good / n + 1e-6) / (1 - good / n + 1e-6))))
+
+    def cut(batch: pa.RecordBatch) -> dict:
+        x = _matrix(batch, "x", "<i2")
+        bins = trees.binned(x).astype(np.uint8)
+        return {"b": [r.tobytes() for r in bins], "kind": x[:, 0]} | {c: batch.column(c) for c in ("label", "held", "n")}
+
+    binned = map_batches(rows, cut, _BINNED).groupBy("b", "kind", "label", "held").agg(F.sum("n").alias("n"))
+    binned = written(binned.coalesce(docs.sparkSession.sparkContext.defaultParallelism), "binned")
+    train, few = binned.filter("not held").select("b", "label", "n"), None
+    if train.count() <= _FEW:  # counts of distinct short vectors; there are a few thousand on most tables
+        b, y, times = zip(*train.collect())
+        few = np.frombuffer(b"".join(b), "u1").reshape(-1, FEATURES).astype(np.int64), np.array(y, float), np.array(times, np.int64)
+
+    def histograms(feature: np.ndarray, at: np.ndarray, level: int) -> np.ndarray:
+        if few is not None:
+            return trees.histograms(*few, feature, at, level)
+
+        def fn(batch: pa.RecordBatch) -> dict:
+            y = batch.column("label").to_numpy(zero_copy_only=False).astype(float)
+            return {"sums": [trees.histograms(_matrix(batch, "b", "u1"), y, batch.column("n").to_numpy(), feature, at, level).ravel()]}
+
+        parts = map_batches(train, fn, struct(sums="array<long>")).toLocalIterator()  # one short array a batch
+        return sum(np.array(r.sums, np.int64) for r in parts).reshape(2, 2**level, FEATURES, BINS + 1)
+
+    for _ in range(TREES):
+        trees.grow(histograms)
+
+    def scores(batch: pa.RecordBatch) -> dict:
+        n = batch.column("n").to_numpy()
+        return {"kind": batch.column("kind"), "score": trees.of_binned(_matrix(batch, "b", "u1")), "n": n, "good": n * batch.column("label").to_numpy(zero_copy_only=False)}
+
+    scored = map_batches(binned.filter("held"), scores, struct(kind="int", score="double", n="long", good="long"))
+    return Model(trees, _thresholds(scored.groupBy("kind", "score").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))))
 
 
 def _joined(spans: dict[str, list[tuple[int, int]]]) -> str:

@@ -170,6 +170,31 @@ def test_model_takes_the_wider_forms(spark):
         assert base == every
 
 
+def test_model_counts_every_document(spark, monkeypatch):
+    import zlib
+
+    import numpy as np
+
+    rng = random.Random(5)
+    texts = [f"Call +1 ({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)} or mail a{i}.b@host{i}.example.com, server 10.{i % 200}.3.{i % 90}, order {rng.randrange(10**12, 10**14)}" for i in range(1200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    every = [(x, good, zlib.crc32(f"{i}:{source}".encode()) % 3 == 0) for i, t in enumerate(texts) for source, x, good in pii.examples(t)]
+    assert len(every) > 20_000  # what the trees were limited to
+    assert pii.labelled(docs).agg({"n": "sum"}).first()[0] == len(every)
+    model = pii.fit(docs)
+    x, y, held = (np.array(c) for c in zip(*every))
+    q = np.linspace(0, 1, pii.BINS + 1)[1:-1]
+    assert all(np.array_equal(c, np.unique(np.quantile(x[~held, j], q))) for j, c in enumerate(model.trees.cuts))
+    score = model.trees.predict(x)
+    for k in range(len(pii.KINDS)):
+        of = held & (x[:, 0] == k)
+        steps = [s for s in np.unique(score[of]) if y[of & (score >= s)].mean() >= pii.PRECISION]
+        assert model.thresholds[k] == (min(steps) if of.sum() >= pii.LEAST_HELD and steps else 2.0)
+    monkeypatch.setattr(pii, "_FEW", 0)  # histograms by tasks
+    other = pii.fit(docs.repartition(7, "text"))
+    assert other.thresholds == model.thresholds and all(np.array_equal(a, b) for s, t in zip(model.trees.trees, other.trees.trees) for a, b in zip(s, t))
+
+
 def test_redaction_of_overlaps():
     assert pii.redacted("ab 1234 cd", {"email": [(3, 5)], "ip": [(4, 7)], "card": [], "phone": []}) == "ab [EMAIL] cd"
 
