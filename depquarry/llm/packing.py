@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import bytes_of, map_batches, struct, table, written
+from ._common import WORKER_CACHES, bytes_of, map_batches, struct, table, written
 
 WINDOW, END_ID, TOKENIZER = 4096, 2, "word_bpe_49k.json"
 #: Entries of a worker's word caches: one that keeps the first words seen (mostly frequent ones), one that is emptied when full.
 KEPT_WORDS, YOUNG_WORDS, LONG_WORD = 300_000, 150_000, 64
 _plain = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
-_loaded: dict[int, WholeIds] = {}
+_loaded: dict[int, WholeIds] = WORKER_CACHES.setdefault("tokenizers", {})
 
 # The settings of a tokenizer that lower-cases, drops white space and treats words by themselves.
 _BY_WORD = {
@@ -131,7 +131,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> Data
         done[part] = int(start[-1] + n[-1])
         return {"part": batch.column("part"), "doc_id": batch.column("doc_id").cast(pa.int64()), "start": start, "n": n, "ids": ids}
 
-    return map_batches(docs.select(F.spark_partition_id().alias("part"), "doc_id", "text"), fn, TOKENS)
+    return map_batches(docs.select(F.spark_partition_id().alias("part"), "doc_id", "text"), fn, TOKENS, keep="tokenizers")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:

@@ -44,7 +44,7 @@ BLOCKS = (11, 11, 11, 11, 10, 10)
 WIDE_SHINGLE, WIDE_RADIUS, KEY_BITS, KEY_ROUNDS = 5, 50, 16, 3
 WIDE = ("f0", "f1", "f2", "f3")
 CONTRACTIONS = 2
-_PAIRS_AT_ONCE = 1 << 15
+_PAIRS_AT_ONCE, _WORDS_AT_ONCE = 1 << 15, 1 << 12
 _LEADERS, _LEAD_FROM = 8, 256
 
 
@@ -112,7 +112,18 @@ def bit_planes(fps: np.ndarray) -> np.ndarray:
 
 
 def within_radius(planes: np.ndarray, query: np.ndarray, block: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """For pairs (query fingerprint, block): (pair number, lane) of the lanes within the radius.
+    """For pairs (query fingerprint, block): (pair number, lane) of the lanes within the radius."""
+    live, lanes = _words_within(planes, query, block, radius)
+    pair, lane = _lanes_of(lanes)
+    return live[pair], lane
+
+
+def _lanes_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.nonzero(np.unpackbits(words.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+
+
+def _words_within(planes: np.ndarray, query: np.ndarray, block: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs with lanes within the radius, and these lanes as the bits of a word.
 
     The counters, 64 lanes to a word, start so that they run over (and stay so) just beyond the radius; pairs whose lanes
     all ran over are dropped.
@@ -135,10 +146,7 @@ def within_radius(planes: np.ndarray, query: np.ndarray, block: np.ndarray, radi
                 live, over, count = live[stay], over[stay], [c[stay] for c in count]
                 if not len(live):
                     break
-    if not len(live):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    pair, lane = np.nonzero(np.unpackbits((~over).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-    return live[pair], lane
+    return live, ~over
 
 
 def _merge(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -164,10 +172,13 @@ def _pairs(planes: np.ndarray, fps: np.ndarray, query: np.ndarray, first: np.nda
         if skip:
             open_ = ~skip(q, block)
             q, block = q[open_], block[open_]
-        pair, lane = within_radius(planes, fps[q], block, radius)
-        i, j = q[pair], block[pair] * 64 + lane
-        real = (j != i) & (j < len(fps))
-        yield i[real], j[real]
+        live, words = _words_within(planes, fps[q], block, radius)
+        for a in range(0, len(live), _WORDS_AT_ONCE):  # among near copies all lanes of all words are links
+            pair, lane = _lanes_of(words[a : a + _WORDS_AT_ONCE])
+            pair = live[a : a + _WORDS_AT_ONCE][pair]
+            i, j = q[pair], block[pair] * 64 + lane
+            real = (j != i) & (j < len(fps))
+            yield i[real], j[real]
 
 
 def forest(fps: np.ndarray, starts: np.ndarray, radius: int) -> np.ndarray:

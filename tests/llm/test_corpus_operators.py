@@ -508,3 +508,22 @@ def test_registry(spark):
     ops = {k.split("_")[0] for k in entry.queries() if k.startswith("op")}
     assert ops == {f"op{n}" for n in range(1, 14)} and "pipeline" in entry.queries()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "decontamination", "pii", "packing"]
+
+
+def test_workers_drop_what_another_stage_loaded():
+    from depquarry.llm import _common
+
+    with open(packing.default_tokenizer(), encoding="utf-8") as f:
+        packing.ids_by(f.read(), 2)
+    _common.drop_caches("tokenizers")
+    assert packing._loaded
+    _common.drop_caches()
+    assert not packing._loaded
+
+
+def test_near_copies_are_expanded_bit_by_bit():
+    rng = np.random.default_rng(1)
+    fps = np.repeat(rng.integers(0, 1 << 63, (1, 4)).astype(np.uint64), 8192, axis=0)
+    fps[:, 0] ^= np.uint64(1) << rng.integers(0, 64, 8192).astype(np.uint64)
+    sizes = [len(i) for i, _ in simhash._pairs(simhash.bit_planes(fps), fps, np.arange(8192), np.arange(8192) // 64, np.full(8192, 127), 50)]
+    assert max(sizes) <= 1 << 18  # a step had up to 2 million links
