@@ -373,6 +373,20 @@ def test_many_short_quotes_do_not_part_long_holders(spark):
     assert all(got[10 + i][0].n_links == 0 for i in range(400))
 
 
+def test_short_quotes_do_not_part_a_fuzzy_passage(spark):
+    rng = random.Random(23)
+    shared = words(rng, 240)
+    other = [f"new{i}" if i % 12 == 11 else w for i, w in enumerate(shared)]
+    docs = [(i, " ".join(words(rng, 30) + part + words(rng, 30))) for i, part in enumerate((shared, other))]
+    for i in range(400):
+        at = rng.randrange(211)
+        docs.append((10 + i, " ".join(words(rng, 30) + shared[at : at + 30] + words(rng, 30))))
+    got = found_in(spark, docs)
+    for i in range(2):
+        r, spans = got[i]
+        assert r.group_id == 0 and r.n_links >= 1 and sum(min(b, 270) - max(a, 30) for a, b in spans if b > 30 and a < 270) >= 225
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_passage_twice_in_one_text(spark, seed):
     rng = random.Random(40 + seed)  # either text may be the anchor
