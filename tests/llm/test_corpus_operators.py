@@ -387,6 +387,30 @@ def test_short_quotes_do_not_part_a_fuzzy_passage(spark):
         assert r.group_id == 0 and r.n_links >= 1 and sum(min(b, 270) - max(a, 30) for a, b in spans if b > 30 and a < 270) >= 225
 
 
+def test_short_quotes_meet_few_others(spark, monkeypatch):
+    """Rows of the second round grow with the holders of a line, not with their square."""
+    met, aligned = [], passages._aligned
+    monkeypatch.setattr(passages, "_aligned", lambda rows, *how: (met.append(rows.count()), aligned(rows, *how))[1])
+    for n in (40, 160):
+        rng = random.Random(24)
+        line = words(rng, 45)
+        docs = [(i, " ".join(words(rng, 30) + line + words(rng, 30))) for i in range(n)]
+        assert all(r.n_links == 0 for r, _ in found_in(spark, docs).values())
+    assert 0 < met[3] <= 6 * met[1]  # all with all: 16 times
+
+
+def test_many_holders_of_a_fuzzy_passage_stay_together_among_quotes(spark):
+    rng = random.Random(25)
+    shared = words(rng, 240)
+    docs = [(i, " ".join(words(rng, 30) + [w if rng.random() > 0.04 else f"new{i}-{j}" for j, w in enumerate(shared)] + words(rng, 30))) for i in range(20)]
+    for i in range(200):
+        at, n = rng.randrange(190), rng.randrange(30, 45)
+        docs.append((100 + i, " ".join(words(rng, 30) + shared[at : at + n] + words(rng, 30))))
+    got = found_in(spark, docs)
+    assert {got[i][0].group_id for i in range(20)} == {0} and all(got[i][0].n_links for i in range(20))
+    assert all(sum(min(b, 270) - max(a, 30) for a, b in got[i][1] if b > 30 and a < 270) >= 220 for i in range(20))
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_passage_twice_in_one_text(spark, seed):
     rng = random.Random(40 + seed)  # either text may be the anchor
