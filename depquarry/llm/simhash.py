@@ -43,7 +43,7 @@ SHINGLE, SEED, RADIUS, CHUNK, HOT = 3, 42, 3, 4096, 1000
 BLOCKS = (11, 11, 11, 11, 10, 10)
 WIDE_SHINGLE, WIDE_RADIUS, KEY_BITS, KEY_ROUNDS = 5, 50, 16, 3
 WIDE = ("f0", "f1", "f2", "f3")
-CONTRACTIONS = 2
+CONTRACTIONS, BROADCAST_IDS = 2, 100_000
 _PAIRS_AT_ONCE, _WORDS_AT_ONCE = 1 << 15, 1 << 12
 _LEADERS, _LEAD_FROM = 8, 256
 
@@ -238,7 +238,7 @@ def near_links(distinct: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Links (a, b) between the fingerprints ``fp``, enough to connect what is connected."""
     keys = distinct.select("fp", F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(_masks())])).alias("key"))
     met = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    return map_sorted_groups(_dealt(keys.join(met, "key"), ["fp"], chunk), ["key", "lo", "hi"], linked, struct(a="long", b="long"))
+    return map_sorted_groups(_dealt(keys.join(met.hint("merge"), "key"), ["fp"], chunk), ["key", "lo", "hi"], linked, struct(a="long", b="long"))
 
 
 def _dealt(rows: DataFrame, columns: list[str], chunk: int) -> DataFrame:
@@ -280,7 +280,8 @@ def wide_links(distinct: DataFrame, radius: int = WIDE_RADIUS, key_bits: int = K
     # keys of a thousandth of the fingerprints or more are at most a thousand to each of a fingerprint's keys: they are broadcast
     hot = F.col("n") * HOT >= distinct.count()
     hot_keys, cold_keys = F.broadcast(met.filter(hot)), met.filter(~hot)
-    rows = keys.join(hot_keys.select("key"), "key", "left_anti").join(cold_keys, "key").unionByName(keys.join(hot_keys, "key"))
+    # Spark takes ``keys`` for as many rows as there are fingerprints and would broadcast all of them below 10 MB
+    rows = keys.join(hot_keys.select("key"), "key", "left_anti").join(cold_keys.hint("merge"), "key").unionByName(keys.join(hot_keys, "key"))
     links = map_sorted_groups(_dealt(rows, ["id", *WIDE], chunk), ["key", "lo", "hi"], fn, struct(a="long", b="long"), order=["id"])
     for _ in range(CONTRACTIONS):
         links = contracted(links)
@@ -354,7 +355,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     groups = written(verified_documents(docs).groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")), "groups")
     keep = groups.filter("doc_id = component_id")
     once = docs.join(keep.filter("n = 1").select("doc_id").hint("merge"), "doc_id", "left_semi")  # one plan at every size
-    repeated = docs.join(keep.filter("n > 1").select("doc_id"), "doc_id", "left_semi")
+    several = keep.filter("n > 1").select("doc_id")
+    repeated = docs.join(F.broadcast(several) if several.count() <= BROADCAST_IDS else several.hint("merge"), "doc_id", "left_semi")
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     one = repeated.groupBy("doc_id").agg(F.min(F.struct("text", *others)).alias("r"))
     one = one.select("doc_id", *[F.col("r")[c].alias(c) for c in ("text", *others)])

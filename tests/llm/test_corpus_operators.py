@@ -565,3 +565,37 @@ def test_near_copies_are_expanded_bit_by_bit():
     fps[:, 0] ^= np.uint64(1) << rng.integers(0, 64, 8192).astype(np.uint64)
     sizes = [len(i) for i, _ in simhash._pairs(simhash.bit_planes(fps), fps, np.arange(8192), np.arange(8192) // 64, np.full(8192, 127), 50)]
     assert max(sizes) <= 1 << 18  # a step had up to 2 million links
+
+
+def broadcast_parts(df):
+    """What the plan of ``df`` broadcasts, each as the lines of its subtree."""
+    lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            end = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+            yield "\n".join(lines[i:end])
+
+
+def test_what_a_map_multiplies_is_not_broadcast(spark):
+    rng = np.random.default_rng(5)
+    rows = [(2 * i + j, *map(int, f)) for i, f in enumerate(rng.integers(-(2**62), 2**62, (300, 4))) for j in range(2)]  # so more keys are shared than fingerprints there
+    low = simhash.written(spark.createDataFrame(rows, "id long, f0 long, f1 long, f2 long, f3 long"), "low")
+    parts = list(broadcast_parts(simhash.wide_links(low)))
+    assert parts and not any("MapInArrow" in x for x in parts)  # 48 rows a fingerprint, which Spark sizes as one
+
+
+def test_written_broadcasts_nothing_large_unasked(spark, monkeypatch):
+    from depquarry import storage
+    from depquarry.llm import _common
+
+    key, seen = "spark.sql.autoBroadcastJoinThreshold", []
+    monkeypatch.setattr(storage, "written", lambda df, name: seen.append(_common._bytes(df.sparkSession.conf.get(key))) or df)
+    before = spark.conf.get(key)
+    try:
+        for given, used in (("10m", 256 << 10), ("10485760b", 256 << 10), ("64k", 64 << 10), ("-1", -1)):
+            spark.conf.set(key, given)
+            _common.written(spark.range(1), "x")
+            assert seen.pop() == used and spark.conf.get(key) == given
+    finally:
+        spark.conf.set(key, before)
