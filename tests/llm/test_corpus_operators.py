@@ -599,3 +599,19 @@ def test_written_broadcasts_nothing_large_unasked(spark, monkeypatch):
             assert seen.pop() == used and spark.conf.get(key) == given
     finally:
         spark.conf.set(key, before)
+
+
+def test_seeds_of_very_many_classes_meet_as_others(spark, monkeypatch, tmp_path):
+    """Seeds that are dealt out change no result, and what is written on the way goes."""
+    rng, drawn = random.Random(31), lambda n: words(rng, n)
+    whole, quote = drawn(120), drawn(20)
+    texts = [" ".join(drawn(20) + whole[i % 3 : 90 + i % 31] + quote + drawn(15) + whole[:60]) for i in range(14)]
+    docs = spark.createDataFrame([*enumerate(texts), (50, texts[0]), (51, texts[0]), (51, texts[0]), (None, texts[1]), (52, None), (53, "a b")], "doc_id long, text string")
+    monkeypatch.setattr("depquarry.storage.shared_dir", lambda _: str(tmp_path))
+    got = []
+    for often, how in ((1 << 20, {}), (1, {}), (1, {"sieve_bits": 14}), (1 << 20, {"sieve_bits": 14})):
+        monkeypatch.setattr(passages, "OFTEN", often)
+        got.append(sorted(map(repr, passages.repeated_passages(docs, **how).collect())))
+    assert got[0] == got[1] == got[2] == got[3] and len(got[0]) == 20
+    left = {x.name.rsplit("-", 1)[0] for x in tmp_path.iterdir()}
+    assert left and not left & {"texts", "copied", "shared", "seeds", "met", "held", "holders", "anchors", "chains", "words", "places", "braces"}
