@@ -615,3 +615,24 @@ def test_seeds_of_very_many_classes_meet_as_others(spark, monkeypatch, tmp_path)
     assert got[0] == got[1] == got[2] == got[3] and len(got[0]) == 20
     left = {x.name.rsplit("-", 1)[0] for x in tmp_path.iterdir()}
     assert left and not left & {"texts", "copied", "shared", "seeds", "met", "held", "holders", "anchors", "chains", "words", "places", "braces"}
+
+
+def test_chunks_ask_the_shards_not_texts(spark):
+    """Rows that are asked and answered grow with chunks and shuffle partitions, not with texts."""
+    rng = random.Random(41)
+    texts = [" ".join(words(rng, 40)) for _ in range(300)]
+    rows = [(i, i, False, None if i == 7 else t) for i, t in enumerate(texts)]
+    chunks = lm.written(lm._chunks(spark.createDataFrame(rows, "row long, doc_id long, held_out boolean, text string")), "chunks")
+    shards, groups = 24, 6
+    keys, counts = np.unique(np.concatenate([lm.token_hashes(t.encode()) for t in texts]), return_counts=True)
+    q = lm.quantum(counts)
+    of = keys % np.uint64(shards)
+    parts = [lm.Filter.build(keys[of == s], q[of == s]) for s in range(shards)]
+    filters = spark.createDataFrame([(s, bytearray(p)) for s, p in enumerate(parts)], "shard int, bits binary")
+    told = {r.chunk: [x.asDict() for x in r.unigrams] for r in lm._quanta_by_shard(chunks, filters, False, shards, groups).collect()}
+    found = chunks.collect()
+    assert len(found) <= 8 and sum(map(len, told.values())) <= groups * len(found) and sum(len(r.text) for r in found) == 300
+    whole = lm.Filter(parts)
+    for r in found:
+        asked = np.unique(np.concatenate([lm.token_hashes((t or "").encode()) for t in r.text]))
+        assert lm._told(told[r.chunk], asked, False, shards, groups).tolist() == whole.quanta(asked).tolist()
