@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import child_type
-from ..storage import written
+from ..storage import settled as written
 
 BLOCK = 1 << 16
 _node = re.compile(r"(.*?)\+-(.*)")
